@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import piece_codec, simhash, sorted_tables, token_counts
+from . import decontamination, piece_codec, quality, secrets, simhash, sorted_tables, token_counts
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -24,9 +24,12 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": lambda s, d: token_counts.op3(documents(s, d), tokenizer_file(BYTE_BPE)),
+        "op4_quality_rules": lambda s, d: quality.op4(documents(s, d)),
         "op5_sorted_tables": lambda s, d: sorted_tables.op5(s, documents(s, d), tokenizer_file(BYTE_BPE)),
         "op6_piece_codec": lambda s, d: piece_codec.op6(documents(s, d), tokenizer_file(PIECE_BPE)),
         "op7_simhash": lambda s, d: simhash.op7(documents(s, d)),
+        "op8_secret_scans": lambda s, d: secrets.op8(documents(s, d)),
+        "op9_decontamination": lambda s, d: decontamination.op9(documents(s, d), s.read.parquet(f"{d}/benchmark.parquet")),
     }
 
 
