@@ -5,6 +5,7 @@ A worker keeps its table between batches, up to a bounded number of entries. Lon
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterable
 
@@ -15,41 +16,70 @@ TABLE_ENTRIES = 400_000
 #: Longer chunks are rare and don't repeat.
 KEEP_CHARS = 48
 
-#: Before one space between two characters that are not white space, byte-level BPE with the GPT-2 pattern starts a new piece whatever stands on either side.
-BYTE_BPE_CHUNK = re.compile(r"(?: ?\S+|\s+)(?:(?! \S)\s+\S*)*")
+#: Texts cut at once, in characters.
+BATCH_CHARS = 2 << 20
+#: White space as the GPT-2 pattern has it: Unicode's, which lacks four control characters that Python's has.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The GPT-2 pattern with all that is not white space taken together: no token of its byte-level BPE crosses these chunks.
+BYTE_BPE_CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: A run of markers and what follows up to the next marker.
 MARKED_WORD = re.compile(r" *[^ ]+| +")
 MARKER = "▁"
+#: Chunks encoded as one text.
+JOINED = 400
 
 
 class ChunkTable:
-    """cut: text to chunks. encode: list of chunks to a list of id lists. ids are kept as little-endian 32-bit integers."""
+    """cut: text to chunks. encode: list of chunks to the little-endian 32-bit ids of each."""
 
-    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[list[int]]]):
+    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[bytes]]):
         self.cut, self.encode, self.table = cut, encode, {}
 
     def __call__(self, texts: Iterable[str]) -> list[bytes]:
-        texts = list(texts)
-        if len(self.table) > TABLE_ENTRIES:
-            self.table.clear()
         out: list[bytes] = []
+        held, size = [], 0
         for text in texts:
-            chunks = self.cut(text)
-            try:
-                out.append(b"".join(map(self.table.__getitem__, chunks)))
-            except KeyError:
-                new = list(dict.fromkeys(c for c in chunks if c not in self.table))
-                ids = {c: np.asarray(x, "<u4").tobytes() for c, x in zip(new, self.encode(new), strict=True)}
-                self.table.update(ids)
-                out.append(b"".join(map(self.table.__getitem__, chunks)))
-                for c in new:
-                    if len(c) > KEEP_CHARS:
-                        del self.table[c]
-                if len(self.table) > 2 * TABLE_ENTRIES:
-                    self.table.clear()
+            held.append(text)
+            size += len(text)
+            if size >= BATCH_CHARS:
+                out += self.together(held)
+                held, size = [], 0
+        return out + self.together(held)
+
+    def together(self, texts: list[str]) -> list[bytes]:
+        if len(self.table) > TABLE_ENTRIES:
+            self.table.clear()
+        cut = [self.cut(x) for x in texts]
+        new = list(set().union(*cut).difference(self.table))
+        self.table.update(zip(new, self.encode(new), strict=True))
+        out = [b"".join(map(self.table.__getitem__, x)) for x in cut]
+        for c in new:
+            if len(c) > KEEP_CHARS:
+                del self.table[c]
         return out
 
 
+def joined_ids(model, chunks: list[str]) -> list[bytes]:
+    """The ids of byte-level chunks, many encoded as one text: a line feed between two words is a token of its own and in no word."""
+    feed = model.encode("\n", add_special_tokens=False).ids
+    words = [i for i, c in enumerate(chunks) if c[-1] not in " \n" and not c.isspace()]
+    rest = sorted(set(range(len(chunks))).difference(words))
+    out: list[bytes] = [b""] * len(chunks)
+    for i, e in zip(rest, model.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
+        out[i] = np.asarray(e.ids, "<u4").tobytes()
+    groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+    for group, e in zip(groups, model.encode_batch_fast(["\n".join([chunks[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.asarray(e.ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == feed[0]), len(ids)).tolist()
+        data, at = ids.tobytes(), 0
+        if len(ends) != len(group):
+            raise ValueError("a chunk holds the separator")
+        for i, end in zip(group, ends, strict=True):
+            out[i] = data[4 * at : 4 * end]
+            at = end + 1
+    return out
+
+
 _tables: dict[tuple[str, str], ChunkTable] = {}
 _models: dict[str, object] = {}
 
@@ -57,11 +87,19 @@ _models: dict[str, object] = {}
 def byte_bpe(path: str) -> ChunkTable:
     """Of a byte-level BPE file of the tokenizers library, for this worker."""
     if ("byte", path) not in _tables:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
-        encode = lambda chunks: (e.ids for e in model.encode_batch_fast(chunks, add_special_tokens=False))
-        _tables["byte", path] = ChunkTable(BYTE_BPE_CHUNK.findall, encode)
+        # the library takes these strings out of a text before anything else
+        added = re.compile("(" + "|".join(re.escape(t.content) for t in model.get_added_tokens_decoder().values()) + ")")
+
+        def cut(text: str) -> list[str]:
+            if not added.search(text):
+                return BYTE_BPE_CHUNK.findall(text)
+            return [c for i, part in enumerate(added.split(text)) for c in ([part] if i % 2 else BYTE_BPE_CHUNK.findall(part))]
+
+        _tables["byte", path] = ChunkTable(cut, lambda chunks: joined_ids(model, chunks))
     return _tables["byte", path]
 
 
@@ -85,6 +123,7 @@ def pieces(path: str) -> ChunkTable:
     if ("piece", path) not in _tables:
         model = piece_model(path)
         cut = lambda text: MARKED_WORD.findall(" " + text.replace(MARKER, " ")) if text else []
-        encode = lambda chunks: model.encode([c[1:] for c in chunks], num_threads=1)
+        marker = [model.piece_to_id(MARKER)]  # of a last lone space: the model puts no marker before an empty text
+        encode = lambda chunks: [np.asarray(marker if c == " " else x, "<u4").tobytes() for c, x in zip(chunks, model.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
         _tables["piece", path] = ChunkTable(cut, encode)
     return _tables["piece", path]
