@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, piece_codec, quality, repeats, secrets, simhash, sorted_tables, token_counts
+from . import decontamination, maxent, piece_codec, quality, repeats, secrets, simhash, sorted_tables, token_counts
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -31,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_simhash": lambda s, d: simhash.op7(documents(s, d)),
         "op8_secret_scans": lambda s, d: secrets.op8(documents(s, d)),
         "op9_decontamination": lambda s, d: decontamination.op9(documents(s, d), s.read.parquet(f"{d}/benchmark.parquet")),
+        "op10_language_scores": lambda s, d: maxent.op10(documents(s, d)),
     }
 
 
