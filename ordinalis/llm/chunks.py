@@ -11,8 +11,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: Entries of a worker's table; beyond them it starts anew.
-TABLE_ENTRIES = 400_000
+#: Entries of a worker's table; beyond them it keeps those of the texts at hand.
+TABLE_ENTRIES = 700_000
 #: Longer chunks are rare and don't repeat.
 KEEP_CHARS = 48
 
@@ -26,7 +26,7 @@ BYTE_BPE_CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 MARKED_WORD = re.compile(r" *[^ ]+| +")
 MARKER = "▁"
 #: Chunks encoded as one text.
-JOINED = 400
+JOINED = 100
 
 
 class ChunkTable:
@@ -47,10 +47,11 @@ class ChunkTable:
         return out + self.together(held)
 
     def together(self, texts: list[str]) -> list[bytes]:
-        if len(self.table) > TABLE_ENTRIES:
-            self.table.clear()
         cut = [self.cut(x) for x in texts]
-        new = list(set().union(*cut).difference(self.table))
+        here = set().union(*cut)
+        if len(self.table) > TABLE_ENTRIES:
+            self.table = {c: self.table[c] for c in here.intersection(self.table)}
+        new = list(here.difference(self.table))
         self.table.update(zip(new, self.encode(new), strict=True))
         out = [b"".join(map(self.table.__getitem__, x)) for x in cut]
         for c in new:
@@ -62,7 +63,7 @@ class ChunkTable:
 def joined_ids(model, chunks: list[str]) -> list[bytes]:
     """The ids of byte-level chunks, many encoded as one text: a line feed between two words is a token of its own and in no word."""
     feed = model.encode("\n", add_special_tokens=False).ids
-    words = [i for i, c in enumerate(chunks) if c[-1] not in " \n" and not c.isspace()]
+    words = [i for i, c in enumerate(chunks) if not c.isspace()]
     rest = sorted(set(range(len(chunks))).difference(words))
     out: list[bytes] = [b""] * len(chunks)
     for i, e in zip(rest, model.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, maxent, piece_codec, quality, repeats, secrets, simhash, sorted_tables, token_counts
+from . import decontamination, licenses, maxent, piece_codec, quality, repeats, secrets, simhash, sorted_tables, token_counts
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -23,6 +23,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scans": lambda s, d: licenses.op1(documents(s, d)),
         "op2_repeated_strings": lambda s, d: repeats.op2(documents(s, d)),
         "op3_token_counts": lambda s, d: token_counts.op3(documents(s, d), tokenizer_file(BYTE_BPE)),
         "op4_quality_rules": lambda s, d: quality.op4(documents(s, d)),

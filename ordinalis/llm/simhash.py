@@ -153,19 +153,33 @@ def similar_links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, fingerprint_bits, component_id, one row per row of df.
+    """key, text_hash, fingerprint_bits, component_id, one row per row of df.
 
     Rows are linked if their fingerprints differ in three bits or fewer; component_id is the smallest key that can be reached, itself
     included. Texts without words have fingerprint zero and link like any other. Repeated rows stay; null keys are never a component's
-    name unless all its keys are null. An empty table gives an empty result.
+    name unless all its keys are null. Other columns aren't read. An empty table gives an empty result.
     """
-    signatures = materialize(simhash(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))), "simhash")
+    source = df.select(F.col(f"`{key}`").alias("key"), F.xxhash64(f"`{text}`").alias("text_hash"), F.col(f"`{text}`").alias("text"))
+    signatures = materialize(simhash(source), "simhash")
     distinct = materialize(signatures.groupBy(F.col("fingerprint_bits").alias("fp")).agg(F.min("key").alias("least")), "fingerprints")
     roots = components(materialize(similar_links(distinct), "links"))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = named.join(least, "root").select("fp", "component_id")
-    return signatures.join(by_print, signatures.fingerprint_bits == by_print.fp, "left").select(F.col("key").alias(key), "fingerprint_bits", "component_id")
+    by_print = named.join(least, "root").select("fp", "root", "component_id")
+    return signatures.join(by_print, signatures.fingerprint_bits == by_print.fp, "left").select(F.col("key").alias(key), "text_hash", "fingerprint_bits", "component_id", "root")
+
+
+def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest key; of equal keys, that with the smallest text hash, once.
+
+    Null keys come last, so such a row stays only if its component has no other.
+    """
+    groups = near_duplicates(df, key, text)
+    rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("text_hash").alias("h"))
+    stay = groups.groupBy("root").agg(F.min(rank).alias("r")).select("r.k", "r.h")
+    same = F.col(key).eqNullSafe(F.col("k")) & (F.col("_text_hash") == F.col("h"))
+    kept = df.withColumn("_text_hash", F.xxhash64(f"`{text}`")).join(stay, same, "left_semi")
+    return kept.dropDuplicates([key, "_text_hash"]).select(*df.columns)
 
 
 def op7(df: DataFrame) -> DataFrame:
