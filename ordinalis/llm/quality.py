@@ -46,29 +46,28 @@ def common_words(key: Column) -> Column:
 
 def histograms(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """df with _key, _n_words, _classes (counts of the character classes) and _common (counts of common words, then of others)."""
-    out = df.withColumn("_left0", F.coalesce(F.col(text), F.lit(""))).withColumn("_words", F.filter(F.split("_left0", SPACE + "+"), lambda w: w != ""))
+    out = df.withColumn("_left0", F.coalesce(F.col(text), F.lit(""))).withColumn("_words", F.array_remove(F.split("_left0", SPACE + "+"), ""))
     counts = []
     for i, pattern in enumerate(CLASSES.values()):
         out = out.withColumn(f"_left{i + 1}", F.regexp_replace(f"_left{i}", pattern, ""))
         counts.append(F.char_length(f"_left{i}") - F.char_length(f"_left{i + 1}"))
     counts.append(F.char_length(f"_left{len(CLASSES)}"))
     # words stand apart by two spaces, so that taking out one occurrence leaves its neighbours whole
-    out = out.withColumns({"_key": language_key(F.col(lang)), "_joined": F.lower(F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" "))), "_n_words": F.size("_words").cast("long")})
-    occurrences = F.transform(common_words(F.col("_key")), lambda w: (F.char_length("_joined") - F.char_length(F.replace(F.col("_joined"), F.concat(F.lit(" "), w, F.lit(" "))))) / (F.char_length(w) + 2))
+    out = out.withColumns({"_key": language_key(F.col(lang)), "_joined": F.lower(F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" "))), "_n_words": F.size("_words").cast("long"), "_chars": F.char_length("_left0")})
+    occurrences = F.transform(common_words(F.col("_key")), lambda w: (F.octet_length("_joined") - F.octet_length(F.replace(F.col("_joined"), F.concat(F.lit(" "), w, F.lit(" "))))) / (F.octet_length(w) + 2))
     out = out.withColumns({"_classes": F.array(*[c.cast("double") for c in counts]), "_counted": occurrences})
     others = F.col("_n_words") - F.aggregate("_counted", F.lit(0.0), lambda a, x: a + x)
     return out.withColumn("_common", F.concat("_counted", F.array(others))).drop(*[f"_left{i}" for i in range(1, len(CLASSES) + 1)], "_joined", "_counted")
 
 
-def references(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+def references(rows: DataFrame) -> DataFrame:
     """_key, _ref_classes, _ref_common, _ref_words: shares over all texts of a language that have MIN_WORDS words and pass for prose; five rows at most.
 
-    The pooled row is that of texts in unlisted languages, whose common words are a mixture of all languages'.
+    rows: of histograms(). The pooled row is that of texts in unlisted languages, whose common words are a mixture of all languages'.
     """
     n_classes, most = len(CLASSES) + 1, max(map(len, COMMON_WORDS.values())) + 1
-    chars = F.char_length("_left0")
-    rows = histograms(df.select(text, lang), text, lang).where(F.col("_n_words") >= MIN_WORDS)
-    rows = rows.where((100 * F.get("_classes", F.lit(0)) >= MIN_REFERENCE_LOWER * chars) & (100 * F.get("_classes", F.lit(list(CLASSES).index("symbol"))) <= MAX_REFERENCE_SYMBOLS * chars))
+    share_of = lambda name: 100 * F.get("_classes", F.lit([*CLASSES].index(name)))
+    rows = rows.where((F.col("_n_words") >= MIN_WORDS) & (share_of("lower") >= MIN_REFERENCE_LOWER * F.col("_chars")) & (share_of("symbol") <= MAX_REFERENCE_SYMBOLS * F.col("_chars")))
     sums = rows.groupBy("_key").agg(F.sum("_n_words").alias("_ref_words"), *[F.sum(F.get("_classes", F.lit(i))).alias(f"c{i}") for i in range(n_classes)], *[F.sum(F.get("_common", F.lit(i))).alias(f"w{i}") for i in range(most)])
     share = lambda names: F.transform(F.array_compact(F.array(*names)), lambda x: x / F.aggregate(F.array_compact(F.array(*names)), F.lit(0.0), lambda a, y: a + y))
     return sums.select("_key", "_ref_words", share([f"c{i}" for i in range(n_classes)]).alias("_ref_classes"), share([f"w{i}" for i in range(most)]).alias("_ref_common"))
@@ -95,15 +94,13 @@ def repeated_words(words: Column) -> Column:
     return F.sort_array(grams)
 
 
-def judge(df: DataFrame, refs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance and kept.
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+HIDDEN = ["_key", "_n_words", "_chars", "_classes", "_common"]
 
-    Null texts have no words and fail; texts too short for a guard are judged by the base rules alone, as are all texts if the
-    reference has too few words. Ties and repeated rows are judged alike, each by itself. Other columns stay, but those of the new
-    names are replaced. refs has five rows at most and is broadcast.
-    """
-    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
-    kept = [c for c in df.columns if c not in new]
+
+def features(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """df with the base columns and the hidden histograms. Columns of these names are replaced; null texts have no words and fail."""
+    kept = [c for c in df.columns if c not in BASE]
     out = histograms(df.select(*kept), text, lang)
     lines = F.filter(F.split("_left0", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = out.withColumns({"_lines": lines, "_grams": repeated_words(F.col("_words"))})
@@ -115,31 +112,61 @@ def judge(df: DataFrame, refs: DataFrame, text: str = "text", lang: str = "lang"
     out = out.withColumns(
         {
             "n_words": F.col("_n_words"),
-            "word_chars": (F.char_length("_left0") - F.get("_classes", F.lit(places.index("space")))).cast("long"),
+            "word_chars": (F.col("_chars") - F.get("_classes", F.lit(places.index("space")))).cast("long"),
             "n_symbols": F.get("_classes", F.lit(places.index("symbol"))).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
         }
-    )
-    out = out.join(F.broadcast(refs), "_key", "left")
+    ).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
+    return out.select(*kept, *BASE, *HIDDEN)
+
+
+def verdict(rows: DataFrame, refs: DataFrame) -> DataFrame:
+    """Rows of features() with class_distance, word_distance and kept, without the hidden columns.
+
+    Texts too short for a guard are judged by the base rules alone, as are all texts if the reference has too few words. refs has five
+    rows at most and is broadcast.
+    """
+    new = ["class_distance", "word_distance", "kept"]
+    out = rows.select(*[c for c in rows.columns if c not in new]).join(F.broadcast(refs), "_key", "left")
     usable = F.coalesce(F.col("_ref_words") >= MIN_REFERENCE_WORDS, F.lit(False))
     out = out.withColumns(
         {
-            "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")),
-            "class_distance": F.when(usable & (F.char_length("_left0") >= MIN_CHARS), jensen_shannon(F.col("_classes"), F.col("_ref_classes"))).otherwise(0.0),
+            "class_distance": F.when(usable & (F.col("_chars") >= MIN_CHARS), jensen_shannon(F.col("_classes"), F.col("_ref_classes"))).otherwise(0.0),
             "word_distance": F.when(usable & (F.col("n_words") >= MIN_COMPARED_WORDS), jensen_shannon(F.col("_common"), F.col("_ref_common"))).otherwise(0.0),
         }
     )
-    root = F.sqrt(F.greatest(F.char_length("_left0"), F.lit(1)))
+    root = F.sqrt(F.greatest(F.col("_chars"), F.lit(1)))
     near = (F.col("class_distance") <= MAX_CLASS_DISTANCE + CLASS_NOISE / root) & (F.col("word_distance") <= MAX_WORD_DISTANCE + WORD_NOISE / root)
-    out = out.withColumn("kept", ~F.col("base_failed") & near)
-    return out.select(*kept, *new)
+    return out.withColumn("kept", ~F.col("base_failed") & near).select(*[c for c in rows.columns if c not in new + HIDDEN], *new)
 
 
 def quality(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """judge() against the references of the table itself. An empty table has no references and gives an empty result."""
-    return judge(df, materialize(references(df, text, lang), "references"), text, lang)
+    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance and kept.
+
+    References come from the table itself, in a pass that reads the histograms alone; texts aren't shuffled or stored. Ties and repeated
+    rows are judged alike, each by itself. Other columns stay, but those of the new names are replaced. An empty table has no
+    references and gives an empty result.
+    """
+    refs = materialize(references(histograms(df.select(text, lang), text, lang)), "references")
+    return verdict(features(df, text, lang), refs)
+
+
+def passing(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of df that quality() keeps, with the columns of df.
+
+    The row number is a barrier: without it the optimizer would push the test below the steps it is made of, and write each of them out
+    where it is used, again and again.
+    """
+    judged = quality(df, text, lang).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*df.columns)
+
+
+def quality_of(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """As quality(), but only the key and the new columns: with no text to carry along, one pass over the texts will do."""
+    rows = materialize(features(df.select(key, text, lang), text, lang).drop(text, lang), "features")
+    return verdict(rows, materialize(references(rows), "references"))
 
 
 def op4(df: DataFrame) -> DataFrame:
-    return quality(df.select("doc_id", "text", "lang")).drop("text", "lang")
+    return quality_of(df)
