@@ -1,7 +1,7 @@
 """Language-model scores: exact unigram counts, and a hashed maximum-entropy model with a class-factored softmax.
 
 The model gives P(class | history) * P(word | class, history). Both factors are softmaxes over a bias, which starts at the corpus shares, plus
-weight rows of four hashed history features: the last word, the last two words, and the words two and three back (skips). Frequent
+weight rows of three hashed history features: the last word, the last two words, and the word before the last (a skip). Frequent
 words have a slot in a class of neighbours by frequency; all other words share class 0, inside which they have their smoothed
 unigram share. So the probabilities of all words, unseen ones included, add up to one. Weights are learned in rounds: each task sums the
 gradient of its texts, sums are added by block of rows in two levels, and the driver, which holds only the weights, takes a step.
@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches, materialize
@@ -28,9 +28,11 @@ ALPHA = 0.1
 #: Words whose counts every task has; the counts of others are joined.
 HEAD = 50_000
 CLASSES, SLOTS, ROWS, BLOCKS = 16, 16, 1 << 14, 64
-FEATURES, ROUNDS, STEP, RIDGE = 4, 4, 0.25, 8.0
+FEATURES, ROUNDS, STEP, RIDGE = 3, 4, 1 / 3, 8.0
 #: Distinct words of a task that are counted before they are handed on, and tokens that are scored at once.
 COUNTED, TOKENS = 300_000, 1 << 16
+#: Tokens whose rows of logits are held at once, small enough for a core's cache.
+AT_ONCE = 1 << 13
 #: Entries of a worker's word table.
 TABLE_ENTRIES = 400_000
 RANK_BITS = 20
@@ -100,21 +102,22 @@ class Model:
 
     def feature_rows(self, hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
         """ROWS indexes (features, tokens); place: of each token in its text."""
-        back = [np.where(place >= k, np.roll(hashes, k), np.uint64(k)) for k in (1, 2, 3)]
-        mixes = (back[0] * np.uint64(0x9E3779B97F4A7C15), back[0] * np.uint64(0xC2B2AE3D27D4EB4F) + back[1] * np.uint64(0x165667B19E3779F9), back[1] * np.uint64(0xD6E8FEB86659FD93), back[2] * np.uint64(0xA0761D6478BD642F))
+        back = [np.where(place >= k, np.roll(hashes, k), np.uint64(k)) for k in (1, 2)]
+        mixes = (back[0] * np.uint64(0x9E3779B97F4A7C15), back[0] * np.uint64(0xC2B2AE3D27D4EB4F) + back[1] * np.uint64(0x165667B19E3779F9), back[1] * np.uint64(0xD6E8FEB86659FD93))
         return np.stack([(m ^ m >> np.uint64(31)) * np.uint64(0xE7037ED1A0B428DB) >> np.uint64(64 - int(math.log2(ROWS))) for m in mixes]).astype(np.int64)
 
     def factors(self, rows: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Log class probabilities of all tokens; those with a slot, their word rows and their log slot probabilities."""
-        z = self.class_bias + sum(self.class_weights[r] for r in rows)
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
+        """Class logits of all tokens; those with a slot, their word rows and their slot logits. Held under 60, so that exp() can't overflow."""
+        z = self.class_weights[rows[0]]
+        for r in rows[1:]:
+            z += self.class_weights[r]
+        z += self.class_bias
         slotted = np.flatnonzero(classes)
         within = (rows[:, slotted] * 31 + classes[slotted] * 1031) & (ROWS - 1)
-        y = self.word_bias[classes[slotted]] + sum(self.word_weights[r] for r in within)
-        y -= y.max(1, keepdims=True)
-        y -= np.log(np.exp(y).sum(1, keepdims=True))
-        return z, slotted, within, y
+        y = self.word_bias[classes[slotted]]
+        for r in within:
+            y += self.word_weights[r]
+        return np.minimum(z, 60, out=z), slotted, within, np.minimum(y, 60, out=y)
 
 
 class Words(dict):
@@ -186,9 +189,11 @@ def gradient(model: Model, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     for _, _, _, ranks, hashes, place in token_batches(model, batches, 0):
         classes, slots = classes_of(model, ranks)
         rows = model.feature_rows(hashes, place)
-        for s in parts_of(len(ranks), 1 << 14):
+        for s in parts_of(len(ranks), AT_ONCE):
             z, slotted, within, y = model.factors(rows[:, s], classes[s])
-            z, y = -np.exp(z), -np.exp(y)
+            for x in (z, y):  # logits to minus the shares
+                np.exp(x, out=x)
+                x /= -x.sum(1, keepdims=True)
             z[np.arange(len(z)), classes[s]] += 1
             y[np.arange(len(y)), slots[s][slotted]] += 1
             for k in range(FEATURES):
@@ -230,11 +235,23 @@ def gradient_sum(model: Model, texts: DataFrame) -> np.ndarray:
     return out.reshape(ROWS, width)
 
 
+def frequent(counts: DataFrame, most: int = HEAD) -> list[tuple[str, int]]:
+    """The words with counts high enough that no more than `most` words have them, by falling count, then word.
+
+    Tasks are asked only for these: the least such count is found first, from the number of words with each count.
+    """
+    sizes = counts.groupBy("n").agg(F.count("*").alias("words"))
+    upto = sizes.select("n", F.sum("words").over(Window.orderBy(F.col("n").desc())).alias("upto"))
+    least = upto.where(F.col("upto") <= most).agg(F.min("n")).first()[0]
+    found = [] if least is None else counts.where(F.col("n") >= least).collect()
+    return sorted(((r.word, r.n) for r in found), key=lambda r: (-r[1], r[0]))
+
+
 def train(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model, and the table of all training words' counts. texts: column text, and column part, a number from 1 to 9 that deals them to rounds."""
     counts = materialize(count_tokens(texts.select("text")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = [(r.word, r.n) for r in counts.orderBy(F.col("n").desc(), "word").limit(HEAD).collect()]
+    head = frequent(counts)
     model = Model(head, total, distinct)
     for k in range(rounds if total else 0):
         g = gradient_sum(model, texts.where(F.pmod(F.col("part"), F.lit(rounds)) == k).select("text"))
@@ -256,21 +273,27 @@ def score_rows(rows: DataFrame, model: Model) -> DataFrame:
             classes, slots = classes_of(model, ranks)
             features = model.feature_rows(hashes, place)
             logs = np.empty(len(ranks))
-            for s in parts_of(len(ranks), 1 << 14):
+            for s in parts_of(len(ranks), AT_ONCE):
                 z, slotted, _, y = model.factors(features[:, s], classes[s])
-                found = z[np.arange(len(z)), classes[s]].astype(float)
-                found[slotted] += y[np.arange(len(y)), slots[s][slotted]]
+                found = z[np.arange(len(z)), classes[s]] - np.log(np.exp(z).sum(1, dtype=float))
+                found[slotted] += y[np.arange(len(y)), slots[s][slotted]] - np.log(np.exp(y).sum(1, dtype=float))
                 logs[s] = found / math.log(10)
             known = ranks > 0
             base = np.where(known, model.log_counts[ranks], 0.0)
             logs += np.where(classes == 0, base - tail_log, 0.0)
             ends = np.append(first[1:], len(ranks))
-            tails = []
-            for text, a, b in zip(words, first.tolist(), ends.tolist(), strict=True):
-                rare = Counter(text[i] for i in np.flatnonzero(~known[a:b]).tolist())
-                tails.append([{"word": w.decode(), "m": n} for w, n in rare.items()])
-            columns = [[d[0] for d in docs], [d[1] for d in docs], ends - first, np.add.reduceat(known.astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(logs, first), tails]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            rare_words, rare_counts, offsets = [], [], [0]
+            rare_places = np.flatnonzero(~known)
+            cuts = np.searchsorted(rare_places, np.append(first, len(ranks))).tolist()
+            for text, a, b, at in zip(words, cuts[:-1], cuts[1:], first.tolist(), strict=True):
+                rare = Counter(map(text.__getitem__, (rare_places[a:b] - at).tolist()))
+                rare_words += rare.keys()
+                rare_counts += rare.values()
+                offsets.append(len(rare_words))
+            pairs = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()).cast(pa.string()), pa.array(rare_counts, pa.int64())], names=["word", "m"])
+            columns = [[d[0] for d in docs], [d[1] for d in docs], ends - first, np.add.reduceat(known.astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(logs, first)]
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=False)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)], names=schema.names)
 
     return rows.mapInArrow(run, "key long, held_out boolean, n_tokens long, n_known long, base_log double, score_log double, tail array<struct<word:string,m:long>>")
 
