@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, packed, unpacked
 
 #: The most common function words of each language.
 COMMON_WORDS = {
@@ -149,7 +149,9 @@ def quality(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     references and gives an empty result.
     """
     refs = materialize(references(histograms(df.select(text, lang), text, lang)), "references")
-    return verdict(features(df, text, lang), refs)
+    new = [*BASE, "class_distance", "word_distance", "kept"]
+    judged = verdict(features(packed(df, text=F.col(f"`{text}`"), lang=F.col(f"`{lang}`"))), refs)
+    return judged.select(*unpacked([c for c in df.columns if c not in new]), *new)
 
 
 def passing(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -158,8 +160,8 @@ def passing(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     The row number is a barrier: without it the optimizer would push the test below the steps it is made of, and write each of them out
     where it is used, again and again.
     """
-    judged = quality(df, text, lang).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*df.columns)
+    judged = quality(packed(df, text=F.col(f"`{text}`"), lang=F.col(f"`{lang}`"))).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*unpacked(df.columns))
 
 
 def quality_of(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -5,21 +5,24 @@ Built-in expressions only. Texts never move: patterns run where texts are read,
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, packed, unpacked
 
-#: The base kinds in their order, with the pattern, the group that holds the value and that group's least length.
+#: The base kinds in their order, with the pattern, the group that holds the value, that group's least length and what it must hold.
 BASE = (
-    ("assign", r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
-    ("hex", r"[0-9a-f]{24,}", 0, 24),
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, ()),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20, ()),
+    ("hex", r"[0-9a-f]{24,}", 0, 24, ()),
 )
 #: Token forms with a published prefix, and mixed strings that hold a digit, a capital and a small letter each.
 ADDED = (
-    ("token", r"gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 14),
-    ("mixed", r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]{0,200}[0-9])(?=[a-z0-9+/]{0,200}[A-Z])(?=[A-Z0-9+/]{0,200}[a-z])[A-Za-z0-9+/]{24,}", 0, 24),
+    ("token", r"gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 14, ()),
+    ("mixed", r"[A-Za-z0-9+/]{24,}", 0, 24, ("[0-9]", "[A-Z]", "[a-z]")),
 )
 KINDS = tuple(k[0] for k in BASE + ADDED)
 #: A value with more owners than this is a copied example; one with this many or fewer looks live.
@@ -34,9 +37,9 @@ def lengths_before(steps: Column) -> Column:
     return F.transform(steps, lambda _, i: F.aggregate(F.slice(runs, F.lit(1), F.floor(i / RUN).cast("int")), F.lit(0).cast("bigint"), lambda a, x: a + x) + F.aggregate(F.slice(steps, F.floor(i / RUN).cast("int") * RUN + 1, i % RUN), F.lit(0).cast("bigint"), lambda a, x: a + x))
 
 
-def with_spans(df: DataFrame, text: str, out: str, rank: int, kind: tuple[str, str, int, int]) -> DataFrame:
+def with_spans(df: DataFrame, text: str, out: str, rank: int, kind: tuple[str, str, int, int, tuple[str, ...]]) -> DataFrame:
     """Adds the spans of one kind, leftmost and non-overlapping, as an array of (start, rank, end, value) in code points."""
-    _, pattern, group, least = kind
+    _, pattern, group, least, holds = kind
     empty = F.array().cast(SPAN)
     found = F.col(text).rlike(pattern)
     cut = lambda c: F.when(found, c)
@@ -52,7 +55,7 @@ def with_spans(df: DataFrame, text: str, out: str, rank: int, kind: tuple[str, s
             F.get("_values", i).alias("value"),
         ),
     )
-    kept = F.filter(spans, lambda s: F.char_length(s["value"]) >= least)
+    kept = F.filter(spans, lambda s: reduce(and_, [s["value"].rlike(h) for h in holds], F.char_length(s["value"]) >= least))
     return df.withColumn(out, F.coalesce(kept.cast(SPAN), empty)).drop("_hits", "_values", "_gaps", "_steps", "_before")
 
 
@@ -104,15 +107,17 @@ def redact(df: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "te
     Only rows with spans are sent to be matched; other columns stay, and rows are neither dropped nor repeated.
     """
     marked = spans.where(F.size("spans") > 0).select(F.col(f"`{key}`").alias("_k"), F.col("text_hash").alias("_h"), "spans").dropDuplicates(["_k", "_h"])
-    out = df.withColumn("_text_hash", F.xxhash64(text)).join(marked, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_text_hash") == F.col("_h")), "left")
+    rows = packed(df, key=F.col(f"`{key}`"), text=F.col(f"`{text}`"), text_hash=F.xxhash64(f"`{text}`"))
+    out = rows.join(marked, F.col("key").eqNullSafe(F.col("_k")) & (F.col("text_hash") == F.col("_h")), "left")
     # a span's beginning is the furthest end before it, so that overlaps leave no text between them
     start = F.struct(F.array().cast("array<struct<a:bigint,b:bigint>>").alias("gaps"), F.lit(0).cast("bigint").alias("at"))
     gaps = F.aggregate("spans", start, lambda a, s: F.struct(F.when(s["start"] >= a["at"], F.concat(a["gaps"], F.array(F.struct(a["at"].alias("a"), s["start"].alias("b"))))).otherwise(a["gaps"]).alias("gaps"), F.greatest(a["at"], s["end"]).alias("at")))
     out = out.withColumn("_cut", F.when(F.col("spans").isNotNull(), gaps))
-    piece = lambda a, n: F.substring(F.col(text), (a + 1).cast("int"), n)
+    piece = lambda a, n: F.substring("text", (a + 1).cast("int"), n)
     parts = F.transform("_cut.gaps", lambda g: piece(g["a"], (g["b"] - g["a"]).cast("int")))
-    whole = F.array_join(F.concat(parts, F.array(piece(F.col("_cut.at"), F.char_length(text)))), mark)
-    return out.withColumn(text, F.when(F.col("spans").isNotNull(), whole).otherwise(F.col(text))).select(*df.columns)
+    whole = F.array_join(F.concat(parts, F.array(piece(F.col("_cut.at"), F.char_length("text")))), mark)
+    redacted = F.when(F.col("spans").isNotNull(), whole).otherwise(F.col("text")).alias(text)
+    return out.select(*[redacted if c == text else u for c, u in zip(df.columns, unpacked(df.columns), strict=True)])
 
 
 def of_kind(rank: int):

@@ -50,3 +50,13 @@ def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; lower() does just that where all characters are ASCII."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """The rows of df as one struct, _in, beside the given columns, so that no name of df's can clash with another."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_in"), *[c.alias(name) for name, c in columns.items()])
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    """Columns of the packed rows, under their names."""
+    return [F.col("_in").getField(c).alias(c) for c in columns]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bounded_batches, materialize
+from .shared import bounded_batches, materialize, packed, unpacked
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -177,9 +177,9 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     groups = near_duplicates(df, key, text)
     rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("text_hash").alias("h"))
     stay = groups.groupBy("root").agg(F.min(rank).alias("r")).select("r.k", "r.h")
-    same = F.col(key).eqNullSafe(F.col("k")) & (F.col("_text_hash") == F.col("h"))
-    kept = df.withColumn("_text_hash", F.xxhash64(f"`{text}`")).join(stay, same, "left_semi")
-    return kept.dropDuplicates([key, "_text_hash"]).select(*df.columns)
+    rows = packed(df, key=F.col(f"`{key}`"), hash=F.xxhash64(f"`{text}`"))
+    kept = rows.join(stay, F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")), "left_semi")
+    return kept.dropDuplicates(["key", "hash"]).select(*unpacked(df.columns))
 
 
 def op7(df: DataFrame) -> DataFrame:
