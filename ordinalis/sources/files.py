@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -24,11 +25,15 @@ class Files:
         self.fs.mkdirs(self.path(name))
 
     def read(self, name: str) -> str:
-        stream = self.fs.open(self.path(name))
+        stream = None
         try:
+            stream = self.fs.open(self.path(name))
             return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        except Py4JJavaError as e:
+            raise OSError(f"{self.root}/{name} can't be read: {e.java_exception.getMessage()}") from e
         finally:
-            stream.close()
+            if stream is not None:
+                stream.close()
 
     def write(self, name: str, text: str) -> None:
         """Replaces the file in one step: readers see the old text or the new."""

@@ -56,7 +56,7 @@ def write_or_verify(files: Files, options: StoreOptions) -> None:
         return
     try:
         written = json.loads(files.read(FILE))
-    except json.JSONDecodeError as e:
+    except (json.JSONDecodeError, OSError) as e:
         raise OptionsError(f"{FILE} can't be read: {e}") from e
     if not isinstance(written, dict):
         raise OptionsError(f"{FILE} holds no options")
