@@ -33,7 +33,7 @@ class ChunkTable:
     """cut: text to chunks. encode: list of chunks to the little-endian 32-bit ids of each."""
 
     def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[bytes]]):
-        self.cut, self.encode, self.table = cut, encode, {}
+        self.cut, self.encode, self.table, self.last = cut, encode, {}, set()
 
     def __call__(self, texts: Iterable[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -46,9 +46,13 @@ class ChunkTable:
                 held, size = [], 0
         return out + self.together(held)
 
+    def rest(self) -> None:
+        """Between tasks a worker keeps the chunks of the last texts, the frequent ones among them, and gives the other memory back."""
+        self.table = {c: self.table[c] for c in self.last.intersection(self.table)}
+
     def together(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(x) for x in texts]
-        here = set().union(*cut)
+        self.last = here = set().union(*cut)
         if len(self.table) > TABLE_ENTRIES:
             self.table = {c: self.table[c] for c in here.intersection(self.table)}
         new = list(here.difference(self.table))

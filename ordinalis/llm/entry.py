@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, maxent, piece_codec, quality, repeats, secrets, simhash, sorted_tables, token_counts
+from . import decontamination, licenses, maxent, piece_codec, quality, repeats, secrets, simhash, sorted_tables, sql, token_counts
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -37,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_rules": sql.quality_rules(), "op8_secret_scans": sql.secret_scans(), "op9_decontamination": sql.decontaminated()}

@@ -30,13 +30,16 @@ def piece_encode_decode(df: DataFrame, model_path: str, text: str = "text", ids:
 
         model = chunks.piece_model(model_path)
         whole = chunks.crosses_marker(model_path)
-        encode = (lambda texts: [np.asarray(x, "<u4").tobytes() for x in model.encode(texts, num_threads=1)]) if whole else chunks.pieces(model_path)
+        table = None if whole else chunks.pieces(model_path)
+        encode = table or (lambda texts: [np.asarray(x, "<u4").tobytes() for x in model.encode(texts, num_threads=1)])
         begin, end = (np.asarray([x], "<u4").tobytes() for x in (model.bos_id(), model.eos_id()))
         for batch in batches:
             texts = [x or "" for x in batch.column(kept.index(text)).to_pylist()]
             found = [begin + x + end for x in encode(texts)]
             back = [model.decode(np.frombuffer(x, "<u4").tolist()) for x in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary()), pa.array(back, pa.string())], names=[*batch.schema.names, ids, decoded])
+        if table:
+            table.rest()
 
     return source.mapInArrow(run, schema)
 

@@ -171,4 +171,5 @@ def quality_of(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 def op4(df: DataFrame) -> DataFrame:
-    return quality_of(df)
+    found = quality_of(df)
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})

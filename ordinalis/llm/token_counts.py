@@ -23,6 +23,7 @@ def encoded_lengths(df: DataFrame, tokenizer_path: str, text: str = "text") -> D
         encode = chunks.byte_bpe(tokenizer_path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in encode([x or "" for x in batch.column(0).to_pylist()])], pa.int64())], names=["n_tokens"])
+        encode.rest()
 
     return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "n_tokens long")
 
