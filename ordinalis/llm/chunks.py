@@ -22,6 +22,8 @@ BATCH_CHARS = 2 << 20
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The GPT-2 pattern with all that is not white space taken together: no token of its byte-level BPE crosses these chunks.
 BYTE_BPE_CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: The same where all characters are ASCII.
+ASCII_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+", re.ASCII)
 #: A run of markers and what follows up to the next marker.
 MARKED_WORD = re.compile(r" *[^ ]+| +")
 MARKER = "▁"
@@ -100,9 +102,10 @@ def byte_bpe(path: str) -> ChunkTable:
         added = re.compile("(" + "|".join(re.escape(t.content) for t in model.get_added_tokens_decoder().values()) + ")")
 
         def cut(text: str) -> list[str]:
+            chunk = ASCII_CHUNK if text.isascii() else BYTE_BPE_CHUNK
             if not added.search(text):
-                return BYTE_BPE_CHUNK.findall(text)
-            return [c for i, part in enumerate(added.split(text)) for c in ([part] if i % 2 else BYTE_BPE_CHUNK.findall(part))]
+                return chunk.findall(text)
+            return [c for i, part in enumerate(added.split(text)) for c in ([part] if i % 2 else chunk.findall(part))]
 
         _tables["byte", path] = ChunkTable(cut, lambda chunks: joined_ids(model, chunks))
     return _tables["byte", path]
