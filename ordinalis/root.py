@@ -16,12 +16,12 @@ from .operators.numbering import number_rows
 from .plans.compaction import Progress
 from .sources.files import Files
 from .sources.options import StoreOptions, write_or_verify
-from .store import IndexedStore
+from .store import LedgerStore
 
 BLOCK_LOG_STATE = "blocklog.json"
 
 
-class BlockLog:
+class BlockChangeLog:
     """Changes of the block number, in the order of arrival, with the time each was first seen. A folder of Parquet and its last state."""
 
     def __init__(self, spark: SparkSession, files: Files):
@@ -78,9 +78,9 @@ class LedgerRoot:
         self.files = Files(spark, path)
         self.files.make_folder()
         write_or_verify(self.files, self.options)
-        self.block_log = BlockLog(spark, self.files)
-        self.transactions = IndexedStore(spark, path, TRANSACTIONS, self.options)
-        self.addresses = IndexedStore(spark, path, ADDRESSES, self.options)
+        self.block_log = BlockChangeLog(spark, self.files)
+        self.transactions = LedgerStore(spark, path, TRANSACTIONS, self.options)
+        self.addresses = LedgerStore(spark, path, ADDRESSES, self.options)
         self.closed = False
 
     def __enter__(self) -> LedgerRoot:

@@ -22,7 +22,7 @@ from .sources.files import Files
 from .sources.manifest import Batch, Manifest, Segment
 from .sources.options import StoreOptions
 
-class IndexedStore:
+class LedgerStore:
     def __init__(self, spark: SparkSession, root: str, spec: StoreSpec, options: StoreOptions | None = None):
         self.spark, self.spec, self.options = spark, spec, (options or StoreOptions()).validate()
         self.files = Files(spark, root)
@@ -35,7 +35,7 @@ class IndexedStore:
         self.closed = False
         self._replay()
 
-    def __enter__(self) -> IndexedStore:
+    def __enter__(self) -> LedgerStore:
         return self
 
     def __exit__(self, *_: object) -> None:

@@ -13,7 +13,7 @@ from ordinalis.root import LedgerRoot
 from ordinalis.sources import fixed_width, synthetic
 from ordinalis.sources.manifest import FILE, ManifestError
 from ordinalis.sources.options import OptionsError, StoreOptions
-from ordinalis.store import IndexedStore
+from ordinalis.store import LedgerStore
 from ordinalis.streaming.ingest import block_changes_stream, ingest_stream
 
 FIELDS = "seq long, v0 long, v1 long, v2 long, v3 long, v4 long"
@@ -31,11 +31,11 @@ def values(df):
 
 def test_lookups_and_reopen(spark, tmp_path):
     data = [(i % 25, i % 17, i % 13, i % 9, i) for i in range(2000)]
-    with IndexedStore(spark, str(tmp_path), TRANSACTIONS) as store:
+    with LedgerStore(spark, str(tmp_path), TRANSACTIONS) as store:
         assert store.append_range(rows(spark, data[:1500])) == 0 and store.append_range(rows(spark, data[1500:])) == 1500
         assert store.append_range(rows(spark, [])) == 2000 and store.committed_count == 0 and store.count == 2000
         assert store.count_by("v0", 3) == 80, "pending rows are seen"
-    with IndexedStore(spark, str(tmp_path), TRANSACTIONS) as store:
+    with LedgerStore(spark, str(tmp_path), TRANSACTIONS) as store:
         assert store.count == store.committed_count == 2000
         for k, n in enumerate((80, 118, 154, 222)):
             expected = [(i, *v) for i, v in enumerate(data) if v[k] == 3]
@@ -55,7 +55,7 @@ def test_lookups_and_reopen(spark, tmp_path):
 def test_model(spark, tmp_path):
     r = random.Random(20250825)
     data = [(r.randrange(40), r.randrange(40), i, i % 7, 2 * i) for i in range(3000)] + [(2**64 - 1 - 2**64, -(2**63), 1, 2, 3)]
-    store = IndexedStore(spark, str(tmp_path), TRANSACTIONS, SMALL)
+    store = LedgerStore(spark, str(tmp_path), TRANSACTIONS, SMALL)
     for at in range(0, len(data), 700):
         store.append_range(rows(spark, data[at : at + 700]))
     assert store.committed_count > 0, "a full store commits by itself"
@@ -66,25 +66,25 @@ def test_model(spark, tmp_path):
 
 
 def test_faults(spark, tmp_path):
-    with IndexedStore(spark, str(tmp_path), TRANSACTIONS) as store:
+    with LedgerStore(spark, str(tmp_path), TRANSACTIONS) as store:
         store.append_range(rows(spark, [(i % 11, i, i, i, i) for i in range(500)]))
     files = store.files
-    lost = IndexedStore(spark, str(tmp_path), TRANSACTIONS)
+    lost = LedgerStore(spark, str(tmp_path), TRANSACTIONS)
     lost.append_range(rows(spark, [(1, 2, 3, 4, 5)]))  # never flushed
     files.delete("transactions/index-v0")
-    with IndexedStore(spark, str(tmp_path), TRANSACTIONS) as store:
+    with LedgerStore(spark, str(tmp_path), TRANSACTIONS) as store:
         assert store.count == 500 and store.count_by("v0", 0) == 46 and store.count_by("v0", 10) == 45
         assert store.vacuum() and store.vacuum() == [] and store.find("v1", 3).count() == 1
     files.delete(store.manifest.batches[0].path)
     with pytest.raises(ManifestError, match="missing"):
-        IndexedStore(spark, str(tmp_path), TRANSACTIONS)
+        LedgerStore(spark, str(tmp_path), TRANSACTIONS)
     files.write(f"transactions/{FILE}", "{ not json")
     with pytest.raises(ManifestError, match="read"):
-        IndexedStore(spark, str(tmp_path), TRANSACTIONS)
+        LedgerStore(spark, str(tmp_path), TRANSACTIONS)
     files.delete(f"transactions/{FILE}")
     files.make_folder("transactions/data/x")
     with pytest.raises(ManifestError, match="no manifest"):
-        IndexedStore(spark, str(tmp_path), TRANSACTIONS)
+        LedgerStore(spark, str(tmp_path), TRANSACTIONS)
 
 
 def test_compaction_plan():
@@ -97,7 +97,7 @@ def test_compaction_plan():
 
 def test_maintenance(spark, tmp_path):
     spec = StoreSpec("t", required(v0=TRANSACTIONS.fields["v0"].dataType), {"v0": lambda: F.col("v0")})
-    store = IndexedStore(spark, str(tmp_path), spec, StoreOptions(merge_fanout=3, memtable_entries=1024, max_segment_entries=4096))
+    store = LedgerStore(spark, str(tmp_path), spec, StoreOptions(merge_fanout=3, memtable_entries=1024, max_segment_entries=4096))
     for k in range(9):
         store.append_range(spark.range(1024).select(F.col("id").alias("seq"), (F.col("id") + k * 0).alias("v0")))
     seen = []
@@ -190,7 +190,7 @@ def test_block_log(spark, tmp_path, batches, log):
 
 def test_address_prefix_collision(spark, tmp_path):
     texts = ["deadbeef" + c * 57 for c in "123"]
-    with IndexedStore(spark, str(tmp_path), ADDRESSES) as store:
+    with LedgerStore(spark, str(tmp_path), ADDRESSES) as store:
         store.append(10, texts[0])
         store.append(20, texts[1])
         assert [lookup.find_address(store.table, t).select("id").collect() for t in texts] == [[(10,)], [(20,)], []]
@@ -251,6 +251,20 @@ def test_block_changes_over_parts(spark):
     assert sorted(values(ingest.block_changes(df, last=1))) == expected
 
 
+def test_scratch_tables(spark):
+    from ordinalis.sources import scratch
+
+    paths = [scratch.fresh_path(spark, "t") for _ in range(2)]
+    spark.range(3).write.parquet(paths[0])
+    assert scratch.materialize(spark.range(5), "u").count() == 5
+    made = len(scratch._made)
+    held, scratch._made[:] = scratch._made[:-3], scratch._made[-3:]  # other tests' tables stay
+    assert made >= 3 and scratch.release(spark) == 3 and scratch._made == []
+    scratch._made[:] = held
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(paths[0])
+
+
 def test_command_line(spark, tmp_path, capsys):
     root = str(tmp_path / "r")
     assert cli.main(["ingest-transactions", root, "--count", "100", "--keys", "2"]) == 0
