@@ -2,39 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import fresh_path, materialize
+
+__all__ = ["ascii_lower", "bounded_batches", "fresh_path", "materialize", "packed", "small", "unpacked"]
+
 #: Bytes of one Arrow batch between the JVM and a Python worker.
 BATCH_BYTES = 16 << 20
 #: Rows a table may have, by count, to be sent to every executor.
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if not folder and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ordinalis-"))
-    return (folder or context.getCheckpointDir()).rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends there, and no executor's loss takes it."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches by bytes, so that long texts don't make batches of gigabytes."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
