@@ -39,8 +39,17 @@ def show(rows: DataFrame) -> int:
     return 0
 
 
-def progress(p: Progress) -> None:
-    print(f"{p.percentage:5.1f} %  {p.stage}", file=sys.stderr)
+class ConsoleProgress:
+    """Prints a maintenance run's progress at steps of half a percent on a terminal, ten elsewhere, and at its end."""
+
+    def __init__(self, out=None):
+        self.out, self.shown = out or sys.stderr, -1.0
+        self.step = 0.5 if self.out.isatty() else 10.0
+
+    def __call__(self, p: Progress) -> None:
+        if p.percentage - self.shown >= self.step or p.percentage >= 100 > self.shown:
+            self.shown = p.percentage
+            print(f"{p.percentage:5.1f} %  {p.stage}  {p.done:,} of {p.total:,}", file=self.out)
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
@@ -52,7 +61,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
             first = root.addresses.append_range(synthetic.addresses(spark, args.count, root.addresses.count))
             print(f"appended {args.count} from ordinal {first}")
         elif args.command == "maintain":
-            print(f"merged {root.maintain(progress if root.options.report_maintenance_progress else None)} entries")
+            print(f"merged {root.maintain(ConsoleProgress() if root.options.report_maintenance_progress else None)} entries")
         elif args.command == "stats":
             o = root.options
             print(f"root {root.path}\nblock size {o.block_size}\ncache blocks {o.cache_budget_bytes // o.block_size}")

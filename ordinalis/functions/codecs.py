@@ -100,6 +100,11 @@ def padded_tx(text: Column) -> Column:
     return pad_right(text, ADDRESS_LENGTH, "T")
 
 
+def address_with_prefix(prefix: Column, filler: str) -> Column:
+    """An address that begins with the prefix: the way to make two with the same first eight characters."""
+    return F.rpad(prefix, ADDRESS_LENGTH, filler)
+
+
 def hex_of_bytes(data: Column) -> Column:
     """Upper-case hex; null and empty give an empty text."""
     return F.coalesce(F.hex(data), F.lit(""))

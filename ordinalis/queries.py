@@ -133,6 +133,13 @@ def texts(spark: SparkSession, values: list[str]) -> DataFrame:
     return spark.createDataFrame([(v,) for v in values], "s string")
 
 
+def by_index_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Ordinals from a run of postings, then their rows."""
+    rows = transactions(spark, folder)
+    hits = lookup.find_ordinals(rows.select(F.col("v0").alias("key"), "ordinal"), "key", KEY)
+    return rows.join(hits, "ordinal", "left_semi")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     values = {"v0": KEY, "v1": 107, "v2": 1000, "v3": 1000}
@@ -175,6 +182,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "index_key_stats": lambda s, d: lookup.key_statistics(transactions(s, d), {f"v{i}": F.col(f"v{i}") for i in range(4)}),
         "bag_union_segments": lambda s, d: (lambda t: lookup.union_runs([postings(t, "v0", F.col("ordinal") < 500), postings(t, "v0", F.col("ordinal").between(500, 899)), postings(t, "v0", F.col("ordinal") >= 900)]))(transactions(s, d)),
         "index_rebuild_tail": lambda s, d: postings(transactions(s, d), "v1", F.col("ordinal") >= 1000),
+        "find_by_index_run": by_index_run,
+        "from_hex": lambda s, d: transactions_by_order(s, d).select("v3", codecs.from_hex(F.concat(F.lit(" 000"), codecs.to_hex(F.col("v3")), F.lit(" "))).alias("value")),
+        "tx_short_id": lambda s, d: transactions_by_order(s, d).select("v3", codecs.tx_short_id(F.concat(codecs.to_hex(F.col("v3")), F.lit("ffff"))).alias("short")),
+        "unsigned_decimal": lambda s, d: transactions_by_order(s, d).select("v3", codecs.unsigned(-F.col("v3") - 1).cast("string").alias("value")),
+        "hex_of_bytes": lambda s, d: table(s, d, "customer").select("c_custkey", codecs.hex_of_bytes(F.encode("c_name", "UTF-8")).alias("hex")),
+        "address_with_prefix": lambda s, d: table(s, d, "customer").select("c_custkey", codecs.address_with_prefix(F.substring("c_name", 1, 8), "f").alias("address")),
+        "canonical_ids": lambda s, d: ingest.canonical_ids(addresses(s, d).withColumn("address", F.substring("address", 1, 17))),
+        "resolve_packed_blocks": lambda s, d: transactions(s, d).groupBy(codecs.block_of(F.col("v4")).alias("block")).agg(F.count("*").alias("n"), F.sum(codecs.amount_of(F.col("v4"))).alias("amount")),
         "synthetic_transactions": lambda s, d: synthetic.transactions(s, 10_000),
         "synthetic_addresses": lambda s, d: synthetic.addresses(s, 1_000),
     }
@@ -231,6 +246,14 @@ FROM orders JOIN known a ON a.address = rpad('c' || o_custkey, {ADDRESS_LENGTH},
         "probe_counts": f"WITH t AS ({by_order}) SELECT p.probe, (SELECT count(*) FROM t WHERE t.v0 = p.probe) AS n FROM (SELECT unnest(range(0, 400, 4)) AS probe) p",
         "index_key_stats": tx(" UNION ALL ".join(f"SELECT 'v{i}' AS index, count(*) AS n, min(v{i}) AS min_key, max(v{i}) AS max_key FROM tx" for i in range(4))),
         "bag_union_segments": tx("SELECT v0 AS key, ordinal FROM tx"),
+        "find_by_index_run": tx(f"SELECT * FROM tx WHERE v0 = {KEY}"),
+        "from_hex": "SELECT o_orderkey AS v3, o_orderkey AS value FROM orders",
+        "tx_short_id": "SELECT o_orderkey AS v3, o_orderkey AS short FROM orders",
+        "unsigned_decimal": "SELECT o_orderkey AS v3, (18446744073709551615::HUGEINT - o_orderkey)::VARCHAR AS value FROM orders",
+        "hex_of_bytes": "SELECT c_custkey, hex(encode(c_name)) AS hex FROM customer",
+        "address_with_prefix": f"SELECT c_custkey, rpad(substr(c_name, 1, 8), {ADDRESS_LENGTH}, 'f') AS address FROM customer",
+        "canonical_ids": addr("SELECT substr(address, 1, 17) AS address, arg_min(id, ordinal) AS id FROM addr GROUP BY 1"),
+        "resolve_packed_blocks": tx("SELECT v4 >> 43 AS block, count(*) AS n, sum(v4 & 8796093022207)::BIGINT AS amount FROM tx GROUP BY 1"),
         "index_rebuild_tail": tx("SELECT v1 AS key, ordinal FROM tx WHERE ordinal >= 1000"),
     }
     return out

@@ -251,6 +251,35 @@ def test_block_changes_over_parts(spark):
     assert sorted(values(ingest.block_changes(df, last=1))) == expected
 
 
+def test_scan_metrics(spark, tmp_path):
+    from ordinalis.operators.metrics import scan_metrics
+
+    path = str(tmp_path / "t")
+    spark.range(1000).repartition(4).write.parquet(path)
+    (found,) = scan_metrics(spark.read.parquet(path).where("id = 5"))
+    assert found["numFiles"] == 4 and found["numOutputRows"] == 1000
+
+
+def test_block_text(spark, tmp_path):
+    from ordinalis.sources import block_text
+
+    path = tmp_path / "log.txt"
+    path.write_text("7 2025-01-02T03:04:05.678Z\nnonsense\n8 2025-01-02T03:04:06.000Z\n")
+    rows = block_text.read_lines(spark, str(path)).orderBy("block").collect()
+    assert [r.block for r in rows] == [7, 8] and rows[0].first_seen_ts.microsecond == 678000
+    assert block_text.last_block(path.read_bytes()) == 8 and block_text.last_block(b"") is None and block_text.last_block(b"8 x\nbad\n") is None
+
+
+def test_console_progress():
+    import io
+
+    out = io.StringIO()
+    show = cli.ConsoleProgress(out)
+    for i in range(101):
+        show(Progress("s", i, 100))
+    assert len(out.getvalue().splitlines()) == 11
+
+
 def test_scratch_tables(spark):
     from ordinalis.sources import scratch
 
