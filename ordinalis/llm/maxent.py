@@ -100,6 +100,15 @@ class Model:
         self.class_curve, self.word_curve = p * (1 - p), (shares * (1 - shares)).max(0)
         self.log_counts = np.log10(np.array([0.0, *(n for _, n in self.head)]) + ALPHA)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "words"}
+
+    def word_table(self) -> Words:
+        """This process's table for the model, kept between its tasks."""
+        if "words" not in self.__dict__:
+            self.words = Words(self)
+        return self.words
+
     def feature_rows(self, hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
         """ROWS indexes (features, tokens); place: of each token in its text."""
         back = [np.where(place >= k, np.roll(hashes, k), np.uint64(k)) for k in (1, 2)]
@@ -141,7 +150,7 @@ class Words(dict):
 
 def token_batches(model: Model, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[tuple], list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows, their tokens, first token of each row, ranks, hashes and places of all tokens, for TOKENS tokens or one text at a time."""
-    table = Words(model)
+    table = model.word_table()
 
     def pack() -> tuple:
         sizes = np.array([len(x) for x in held])
