@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, materialize
+from .shared import BROADCAST_ROWS, bounded_batches, materialize
 
 WINDOW, GRAM = 200, 32
 #: Bytes whose grams are found at once; places in them take 20 bits of a packed key.
 PIECE, PLACE_BITS = 1 << 18, 20
 #: Different cells of one gram whose windows one task holds; those of larger groups are dealt out one by one.
 GROUP_CELLS = 1 << 16
+#: Rows of a cell from which it is sent to the rows, not they to it.
+HOT_CELL = 1 << 12
 #: Cells whose windows are hashed at once.
 CELLS_AT_ONCE = 1 << 12
 
@@ -200,6 +202,18 @@ def deal_windows(texts: DataFrame) -> DataFrame:
     return windows.where("n = 1").join(twice, ["gram", "window"]).select("key", "text_hash", "start", (F.col("start") + WINDOW).alias("end"))
 
 
+def repeated_cells(rest: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Rows of rest whose cell occurs twice or more. Cells with very many rows are few: if their count allows, they are sent to the
+    rows, so that no task gets all of a cell's rows; all others meet by shuffle."""
+    keys = ["gram", "cell"]
+    hot = kinds.where(F.col("n") > HOT_CELL).select(*keys)
+    n = hot.count()
+    if not 0 < n <= BROADCAST_ROWS:
+        return rest.join(kinds.where("n > 1").select(*keys), keys)
+    cold = kinds.where((F.col("n") > 1) & (F.col("n") <= HOT_CELL)).select(*keys)
+    return rest.join(F.broadcast(hot), keys, "left_semi").unionByName(rest.join(F.broadcast(hot), keys, "left_anti").join(cold, keys))
+
+
 def repeated_spans(docs: DataFrame, group_cells: int = GROUP_CELLS) -> DataFrame:
     """key, text_hash, start, end: byte ranges, in no order and with overlaps, whose union is what repeated windows cover."""
     found = cells(docs)
@@ -210,7 +224,7 @@ def repeated_spans(docs: DataFrame, group_cells: int = GROUP_CELLS) -> DataFrame
     rest = met.where(~F.col("alike"))
     kinds = rest.groupBy("gram", "cell").agg(F.count("*").alias("n"), F.min(F.struct("key", "text_hash", "first", "last")).alias("r"))
     kinds = materialize(kinds.select("gram", "cell", "n", "r.*"), "kinds")
-    twice = rest.join(kinds.where("n > 1").select("gram", "cell"), ["gram", "cell"])
+    twice = repeated_cells(rest, kinds)
     texts = cell_texts(docs, kinds.drop("cell"))
     large = materialize(kinds.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > group_cells).select("gram"), "large")
     if large.isEmpty():

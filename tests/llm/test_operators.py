@@ -60,7 +60,9 @@ def removed_by_hand(rows):
 
 
 @pytest.mark.parametrize("group_cells", [repeats.GROUP_CELLS, 2])
-def test_repeated_strings(spark, group_cells):
+def test_repeated_strings(spark, monkeypatch, group_cells):
+    if group_cells == 2:
+        monkeypatch.setattr(repeats, "HOT_CELL", 3)
     rows = [(r[0], r[1]) for r in ROWS] + [(900, "y" * 199), (901, "y" * 200), (902, "z" * 201), (903, "q1w2" * 200_000 + ROWS[3][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = repeats.remove_repeats(df, group_cells=group_cells).select("doc_id", "n_bytes", "n_removed", F.size("removed"), F.sha2("kept", 256))
