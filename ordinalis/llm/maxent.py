@@ -26,7 +26,7 @@ from .shared import bounded_batches, materialize
 END = "\n"
 ALPHA = 0.1
 #: Words whose counts every task has; the counts of others are joined.
-HEAD = 50_000
+HEAD = 150_000
 CLASSES, SLOTS, ROWS, BLOCKS = 16, 16, 1 << 14, 64
 FEATURES, ROUNDS, STEP, RIDGE = 3, 4, 1 / 3, 8.0
 #: Distinct words of a task that are counted before they are handed on, and tokens that are scored at once.
