@@ -1,7 +1,8 @@
 """License scans by conditional compression.
 
 A block is compressed alone and with each template as a raw zstandard dictionary. A template that the block repeats saves most of its bytes, so
-savings rank the templates. The winner is confirmed, or not, by its exact differences of wording from the block.
+savings rank the templates. The first one that the exact differences of wording confirm wins: none may touch a word that tells licenses apart. If
+none is confirmed, the largest saving wins, unconfirmed.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"'),
+    ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"'),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -35,6 +37,21 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
 )
 #: Texts without one of these have no candidate block.
 CUES = r"(?i)licen[cs]|permission|redistribut|public domain|copyright|free software|creative commons"
@@ -42,7 +59,14 @@ CUES = r"(?i)licen[cs]|permission|redistribut|public domain|copyright|free softw
 MIN_SAVING, MIN_WORDS_FOUND = 0.30, 0.85
 #: Longer blocks are looked at in overlapping windows of so many characters; templates are shorter than the overlap.
 BLOCK_CHARS, OVERLAP_CHARS = 1200, 600
-WORD = re.compile(r"[\w.+-]*\w")
+WORD = re.compile(r"(?i)gnu\s+library\b|[\w.+-]*\w")
+#: Numbers of list items before the clauses of a license aren't words.
+ITEM = re.compile(r"(?im)^[^\w\n]*\(?\d[.)]\s+(?=redistribution|neither|all advertising)")
+#: Words that tell licenses or conditions apart: names, kinds, clauses, denials. A difference with one of them, or in numbers, isn't confirmed.
+NAMES = frozenset("mit apache gnu general public mozilla eclipse bsd isc unlicense creative commons cc cc0 attribution international unported artistic academic gpl agpl lgpl mpl epl license licence source code form free domain".split())
+TELLING = (NAMES - frozenset("license licence source code form free general public international domain".split())) | frozenset("affero lesser by sa nc nd noncommercial commercial noderivatives noderivs derivatives derivs sharealike alike share neither nor endorse advertising acknowledgement not no non never without except only proprietary prohibited forbidden restricted unlicensed".split()) | {"gnu library"}
+#: Inserted words that change no meaning; others count as much as missing ones.
+FILLER = frozenset("the a an of and or to in on by as is are be this that these its it terms conditions hereby software program work file library version v".split())
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -68,16 +92,37 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
-def differences(template: str, block: str) -> tuple[float, list[str]]:
-    """Share of the template's words that the block has in order, and every change between its first and last of them: "template words > block words"."""
-    a, b = words(template), words(block)
+def parts(found: list[str]) -> set[str]:
+    """The words and, of those with hyphens, their parts."""
+    return {x for w in found for x in (w, *w.split("-"))}
+
+
+def numbers(found: list[str]) -> list[str]:
+    return [re.sub(r"(?:\.0)+$", "", w.removeprefix("v")) for w in found if re.search(r"\d", w)]
+
+
+def telling(a: list[str], b: list[str], before: str, after: str, own: set[str]) -> bool:
+    """Whether a change of the words a, between the template's words before and after, to b tells another license or another condition."""
+    if numbers(a) != numbers(b) or parts(a) & TELLING or parts(b) & TELLING - own:
+        return True
+    return not a and before in NAMES and after in NAMES  # words inside a name
+
+
+def differences(name: str, template: str, block: str) -> tuple[float, list[str], bool]:
+    """Share of the template's words that the block has in order; every change between its first and last of them, "template words > block words"; and
+    whether the block is confirmed: no change is telling, and of the template's words and those that are added few are missing or added."""
+    a, b = words(template), words(ITEM.sub("", block))
     ops = SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
     while ops and ops[0][0] == "insert":
         ops = ops[1:]
     while ops and ops[-1][0] == "insert":
         ops = ops[:-1]
     found = sum(i2 - i1 for op, i1, i2, _, _ in ops if op == "equal")
-    return found / max(1, len(a)), [f"{' '.join(a[i1:i2])} > {' '.join(b[j1:j2])}" for op, i1, i2, j1, j2 in ops if op != "equal"]
+    changed = [(i1, i2, j1, j2) for op, i1, i2, j1, j2 in ops if op != "equal"]
+    added = sum(max(0, sum(w not in FILLER for w in b[j1:j2]) - (i2 - i1)) for i1, i2, j1, j2 in changed)
+    own = set(name.lower().split("-"))
+    same = not any(telling(a[i1:i2], b[j1:j2], a[i1 - 1] if i1 else "", a[i2] if i2 < len(a) else "", own) for i1, i2, j1, j2 in changed)
+    return found / max(1, len(a)), [f"{' '.join(a[i1:i2])} > {' '.join(b[j1:j2])}" for i1, i2, j1, j2 in changed], same and found >= MIN_WORDS_FOUND * (len(a) + added)
 
 
 class Ranker:
@@ -102,13 +147,14 @@ def scan_text(text: str, rank: Ranker) -> list[tuple]:
     rows = []
     for a, b in blocks(text):
         _, ranked = rank(text[a:b])
-        saving, best = ranked[0]
-        if saving < MIN_SAVING:
+        if ranked[0][0] < MIN_SAVING:
             continue
-        name, template = rank.templates[best]
-        share, changes = differences(template, text[a:b])
-        other = next((rank.templates[i][0] for _, i in ranked[1:] if rank.templates[i][0] != name), None)
-        rows.append((a, b, name, best, saving, other, share, changes, share >= MIN_WORDS_FOUND))
+        compared = ((saving, i, differences(*rank.templates[i], text[a:b])) for saving, i in ranked if saving >= MIN_SAVING)
+        first = next(compared)
+        saving, best, (share, changes, confirmed) = first if first[2][2] else next((c for c in compared if c[2][2]), first)
+        name = rank.templates[best][0]
+        other = next((rank.templates[i][0] for _, i in ranked if rank.templates[i][0] != name), None)
+        rows.append((a, b, name, best, saving, other, share, changes, confirmed))
     kept: list[tuple] = []
     for r in sorted(rows, key=lambda r: (not r[8], -r[4], r[0], r[1] - r[0])):
         if all(r[1] <= k[0] or r[0] >= k[1] for k in kept):

@@ -37,6 +37,30 @@ def test_license_wordings():
     assert [(f[2], f[8]) for f in licenses.scan_text(long, rank)] == [("MIT", True)]
 
 
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+        ("Licensed under the Apache License, Version 1.1.", "Apache-1.1"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"),
+        ("Licensed under the Apache License, Version 2.", "Apache-2.0"),
+        ("Released under the terms of the MIT License.", "MIT"),
+        ("Licensed under the Apache License, Version 3.0.", None),
+        ("Licensed under the Mozilla License, Version 2.0.", None),
+        ("This work is licensed under the GNU Library General Public License, version 3.", None),
+        ("This work is licensed under the GNU General Public License, version 4.", None),
+        ("This work is not licensed under the GNU General Public License, version 3.", None),
+        ("This work is licensed under a Creative Commons Attribution 3.0 International License.", None),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", None),
+    ],
+)
+def test_license_differences_that_tell(text, name):
+    found = licenses.scan_text(text, licenses.Ranker(licenses.TEMPLATES))
+    assert [f[2] for f in found if f[8]] == [name] * (name is not None) and len(found) == 1
+
+
 def test_license_rows(spark):
     rows = [(1, "x\nReleased under the MIT License."), (1, "x\nReleased under the MIT License."), (2, None), (3, "nothing")]
     found = licenses.op1(spark.createDataFrame(rows, "doc_id long, text string")).collect()
