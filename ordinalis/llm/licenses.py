@@ -7,7 +7,9 @@ none is confirmed, the largest saving wins, unconfirmed.
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -54,24 +56,28 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
 )
 #: Texts without one of these have no candidate block.
-CUES = r"(?i)licen[cs]|permission|redistribut|public domain|copyright|free software|creative commons"
+CUES = r"(?i)licen[cs]|permission|redistribut|public\W+domain|copyright|free\W+software|creative\W+commons"
 #: Share of the compressed size that a template must save, and share of its words that the block must have, in order.
 MIN_SAVING, MIN_WORDS_FOUND = 0.30, 0.85
 #: Longer blocks are looked at in overlapping windows of so many characters; templates are shorter than the overlap.
 BLOCK_CHARS, OVERLAP_CHARS = 1200, 600
+#: Share of a template's words that a place in a text must have, in order, to be a block by itself.
+MIN_WORDS_NEAR = 0.75
 WORD = re.compile(r"(?i)gnu\s+library\b|[\w.+-]*\w")
 #: Numbers of list items before the clauses of a license aren't words.
 ITEM = re.compile(r"(?im)^[^\w\n]*\(?\d[.)]\s+(?=redistribution|neither|all advertising)")
 #: Words that tell licenses or conditions apart: names, kinds, clauses, denials. A difference with one of them, or in numbers, isn't confirmed.
 NAMES = frozenset("mit apache gnu general public mozilla eclipse bsd isc unlicense creative commons cc cc0 attribution international unported artistic academic gpl agpl lgpl mpl epl license licence source code form free domain".split())
 TELLING = (NAMES - frozenset("license licence source code form free general public international domain".split())) | frozenset("affero lesser by sa nc nd noncommercial commercial noderivatives noderivs derivatives derivs sharealike alike share neither nor endorse advertising acknowledgement not no non never without except only proprietary prohibited forbidden restricted unlicensed".split()) | {"gnu library"}
+#: These, as one of the two words before a notice, deny it.
+DENIALS = frozenset({"not", "never", "no", "nor", "neither", "without"})
 #: Inserted words that change no meaning; others count as much as missing ones.
 FILLER = frozenset("the a an of and or to in on by as is are be this that these its it terms conditions hereby software program work file library version v".split())
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
     """Candidate blocks of a text, as character ranges: paragraphs with a cue, lines with a cue in paragraphs of several lines, and
-    sentences with a cue in longer lines. Long blocks come as overlapping windows, so none is cut short."""
+    sentences with a cue in longer lines. Long blocks come as overlapping windows. Notices inside other text are found by Notices."""
     cue = re.compile(CUES)
     seen: set[tuple[int, int]] = set()
     for paragraph in re.finditer(r"(?:[^\n]+\n?)+", text):
@@ -108,12 +114,15 @@ def telling(a: list[str], b: list[str], before: str, after: str, own: set[str])
     return not a and before in NAMES and after in NAMES  # words inside a name
 
 
-def differences(name: str, template: str, block: str) -> tuple[float, list[str], bool]:
+def differences(name: str, template: str, block: str, before: str = "") -> tuple[float, list[str], bool]:
     """Share of the template's words that the block has in order; every change between its first and last of them, "template words > block words"; and
-    whether the block is confirmed: no change is telling, and of the template's words and those that are added few are missing or added."""
+    whether the block is confirmed: no change is telling, the words before don't deny it, and of the template's words and those that are added few are
+    missing or added."""
     a, b = words(template), words(ITEM.sub("", block))
     ops = SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    lead = words(before)
     while ops and ops[0][0] == "insert":
+        lead += b[ops[0][3] : ops[0][4]]
         ops = ops[1:]
     while ops and ops[-1][0] == "insert":
         ops = ops[:-1]
@@ -121,15 +130,55 @@ def differences(name: str, template: str, block: str) -> tuple[float, list[str],
     changed = [(i1, i2, j1, j2) for op, i1, i2, j1, j2 in ops if op != "equal"]
     added = sum(max(0, sum(w not in FILLER for w in b[j1:j2]) - (i2 - i1)) for i1, i2, j1, j2 in changed)
     own = set(name.lower().split("-"))
-    same = not any(telling(a[i1:i2], b[j1:j2], a[i1 - 1] if i1 else "", a[i2] if i2 < len(a) else "", own) for i1, i2, j1, j2 in changed)
+    same = not DENIALS.intersection(lead[-2:]) and not any(telling(a[i1:i2], b[j1:j2], a[i1 - 1] if i1 else "", a[i2] if i2 < len(a) else "", own) for i1, i2, j1, j2 in changed)
     return found / max(1, len(a)), [f"{' '.join(a[i1:i2])} > {' '.join(b[j1:j2])}" for i1, i2, j1, j2 in changed], same and found >= MIN_WORDS_FOUND * (len(a) + added)
 
 
+def cues(text: str, found: list[tuple[int, int, str]]) -> list[int]:
+    """Numbers of the words, of those found in the text, where cues begin."""
+    starts = [a for a, _, _ in found]
+    return sorted({bisect_right(starts, m.start()) - 1 for m in re.finditer(CUES, text)} - {-1})
+
+
+class Notices:
+    """Places of a text that have most of a template's words around a cue, wherever blocks end, as character ranges."""
+
+    def __init__(self, templates: tuple[tuple[str, str], ...]):
+        self.templates = []
+        for _, t in templates:
+            found = [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(t)]
+            if found:
+                self.templates.append(([w for *_, w in found], {w for *_, w in found}, cues(t, found), t[found[-1][1] :]))
+
+    def __call__(self, text: str) -> Iterator[tuple[int, int]]:
+        found = [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(text)]
+        at = cues(text, found)
+        for template, distinct, places, tail in self.templates:
+            n, slack = len(template), 2 + len(template) // 5
+            firsts, tried = sorted({k - place for k in at for place in places}), set()
+            for first in firsts:
+                a = max(0, first - slack)
+                window = [w for *_, w in found[a : max(0, first + n + slack)]]
+                if first in tried or len(distinct.intersection(window)) < MIN_WORDS_NEAR * len(distinct):
+                    continue
+                tried.add(first)
+                same = [m for m in SequenceMatcher(None, template, window, autojunk=False).get_matching_blocks() if m.size]
+                longest = max(same, key=lambda m: m.size)
+                if a + longest.b - longest.a != first:  # looked at again from where the template would begin
+                    if a + longest.b - longest.a not in tried:
+                        firsts.append(a + longest.b - longest.a)
+                    continue
+                if sum(m.size for m in same) < MIN_WORDS_NEAR * n:
+                    continue
+                start, end = found[a + same[0].b][0], found[a + same[-1].b + same[-1].size - 1][1]
+                yield start, end + next(k for k in range(len(tail), -1, -1) if text.startswith(tail[:k], end))
+
+
 class Ranker:
     def __init__(self, templates: tuple[tuple[str, str], ...]):
         import zstandard as z
 
-        self.templates, self.alone = templates, z.ZstdCompressor(level=3)
+        self.templates, self.alone, self.notices = templates, z.ZstdCompressor(level=3), Notices(templates)
         self.given = [z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for _, t in templates]
 
     def __call__(self, block: str) -> tuple[int, list[tuple[float, int]]]:
@@ -142,16 +191,20 @@ class Ranker:
 def scan_text(text: str, rank: Ranker) -> list[tuple]:
     """(start, end, license, template, saving, runner_up, words_found, differences, confirmed) of the blocks with a winner.
 
-    Of blocks that overlap, the one with the larger saving stays; of equal ones the first, then the shorter.
+    A block has a winner if a template saves MIN_SAVING; a place of Notices also if its words are confirmed, as short notices save little.
+    Of blocks that overlap, a confirmed one stays before others, then the one with the larger saving; of equal ones the first, then the shorter.
     """
     rows = []
-    for a, b in blocks(text):
+    places = dict.fromkeys(blocks(text), MIN_SAVING) | dict.fromkeys(rank.notices(text), -math.inf)
+    for (a, b), least in places.items():
         _, ranked = rank(text[a:b])
-        if ranked[0][0] < MIN_SAVING:
+        if ranked[0][0] < least:
             continue
-        compared = ((saving, i, differences(*rank.templates[i], text[a:b])) for saving, i in ranked if saving >= MIN_SAVING)
+        compared = ((saving, i, differences(*rank.templates[i], text[a:b], text[max(0, a - 40) : a])) for saving, i in ranked if saving >= least)
         first = next(compared)
         saving, best, (share, changes, confirmed) = first if first[2][2] else next((c for c in compared if c[2][2]), first)
+        if saving < MIN_SAVING and not confirmed:
+            continue
         name = rank.templates[best][0]
         other = next((rank.templates[i][0] for _, i in ranked if rank.templates[i][0] != name), None)
         rows.append((a, b, name, best, saving, other, share, changes, confirmed))

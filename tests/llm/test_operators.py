@@ -61,6 +61,37 @@ def test_license_differences_that_tell(text, name):
     assert [f[2] for f in found if f[8]] == [name] * (name is not None) and len(found) == 1
 
 
+PROSE = "The river had risen since the spring and carried down branches, boats and the remains of a mill that stood above the town. "
+
+
+@pytest.mark.parametrize(
+    ("before", "notice", "after", "name"),
+    [
+        ("The photographs, collected between 1890 and 1920 by the society, are ", "licensed under CC BY 4.0.", "", "CC-BY-4.0"),
+        ("The program that the members wrote for counting birds in the marshes is ", "released under the MIT License.", "", "MIT"),
+        ("The tables that come with this volume, and all of the programs that made them from the records, are ", "licensed under the Apache License, Version 2.0.", " ", "Apache-2.0"),
+        (PROSE * 20, "This work is licensed under the GNU General Public License, version 3.", " " + PROSE * 20, "GPL-3.0"),
+        (PROSE.rstrip(". ") + ", ", "licensed\n// under CC\n// BY-NC 4.0", ", " + PROSE, "CC-BY-NC-4.0"),
+    ],
+)
+def test_license_inside_prose(before, notice, after, name):
+    found = licenses.scan_text(before + notice + after, licenses.Ranker(licenses.TEMPLATES))
+    assert [(f[0], f[1], f[2], f[8]) for f in found] == [(len(before), len(before + notice), name, True)]
+
+
+def test_license_templates_inside_prose():
+    rank = licenses.Ranker(licenses.TEMPLATES)
+    for name, template in licenses.TEMPLATES:
+        for joined in (template, template.replace(" ", "\n# ")):
+            found = licenses.scan_text(PROSE * 5 + joined + " " + PROSE * 5, rank)
+            assert [(f[0], f[2], f[8]) for f in found] == [(len(PROSE * 5), name, True)]
+
+
+def test_license_denied():
+    found = licenses.scan_text("The tables that come with this volume are not licensed under CC BY 4.0. " + PROSE, licenses.Ranker(licenses.TEMPLATES))
+    assert not any(f[8] for f in found)
+
+
 def test_license_rows(spark):
     rows = [(1, "x\nReleased under the MIT License."), (1, "x\nReleased under the MIT License."), (2, None), (3, "nothing")]
     found = licenses.op1(spark.createDataFrame(rows, "doc_id long, text string")).collect()
