@@ -445,6 +445,12 @@ def test_model_is_a_distribution_and_learns():
     assert score() > before + 100
 
 
+def test_features_reach_three_words_back():
+    model = maxent.Model([], 0, 0)
+    rows = [model.feature_rows(np.array(h, np.uint64), np.arange(4))[:, 3] for h in ([1, 2, 3, 4], [9, 2, 3, 4])]
+    assert len(rows[0]) == 4 and (rows[0] != rows[1]).sum() == 1
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     df = maxent.op10(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
     assert df.agg(F.sum(F.col("score") - F.col("base_score"))).first()[0] > 0
