@@ -2,8 +2,8 @@
 
 The model gives P(class | history) * P(word | class, history). Both factors are softmaxes over a bias, which starts at the corpus shares, plus
 weight rows of four hashed history features: the last word, the last two words, and the words two and three back (skips). Frequent
-words have a slot in a class of neighbours by frequency; all other words share class 0, inside which they have their smoothed
-unigram share. So the probabilities of all words, unseen ones included, add up to one. Weights are learned in rounds: each task sums the
+words have a slot in a class of neighbours by frequency; the other words of the head fall into tail classes of equal mass by frequency, and all
+others share class 0; inside these they have their smoothed unigram share. Weight rows and tail classes grow with the training tokens. So the probabilities of all words, unseen ones included, add up to one. Weights are learned in rounds: each task sums the
 gradient of its texts, sums are added by block of rows in two levels, and the driver, which holds only the weights, takes a step.
 Each round reads another part of the training texts; together they read all.
 """
@@ -28,6 +28,8 @@ ALPHA = 0.1
 #: Words whose counts every task has; the counts of others are joined.
 HEAD = 150_000
 CLASSES, SLOTS, ROWS, BLOCKS = 16, 16, 1 << 14, 64
+#: ROWS rows and TAILS tail classes do for BASE_TOKENS training tokens; rows double, and MORE_TAILS classes are added, with every eightfold of them.
+BASE_TOKENS, TAILS, MORE_TAILS = 1 << 22, 8, 4
 FEATURES, ROUNDS, STEP, RIDGE = 4, 4, 0.25, 8.0
 #: Distinct words of a task that are counted before they are handed on, and tokens that are scored at once.
 COUNTED, TOKENS = 300_000, 1 << 16
@@ -78,23 +80,35 @@ class Model:
     head: list[tuple[str, int]]
     total: int
     distinct: int
-    class_weights: np.ndarray = field(default_factory=lambda: np.zeros((ROWS, CLASSES), np.float32))
-    word_weights: np.ndarray = field(default_factory=lambda: np.zeros((ROWS, SLOTS), np.float32))
+    class_weights: np.ndarray = field(init=False)
+    word_weights: np.ndarray = field(init=False)
 
     def __post_init__(self):
+        growth = max(0, round(math.log2(max(1, self.total) / BASE_TOKENS) / 3))
+        self.rows = ROWS << growth
         slots = self.head[: (CLASSES - 1) * SLOTS]
         self.n_slots = len(slots)
         counts = np.zeros((CLASSES, SLOTS))
         for r, (_, n) in enumerate(slots):
             counts[1 + r // SLOTS, r % SLOTS] = n
-        rest = self.total - counts.sum()
-        self.tail_norm = rest + ALPHA * (self.distinct - self.n_slots + 1)
-        sums = counts.sum(1)
-        sums[0] = self.tail_norm
+        tail = np.array([n for _, n in self.head[self.n_slots :]], float) + ALPHA
+        tails = TAILS + MORE_TAILS * growth if len(tail) else 0
+        self.n_classes = CLASSES + tails
+        bins = np.minimum((np.cumsum(tail) - tail) / max(tail.sum(), ALPHA) * tails, max(tails - 1, 0)).astype(np.int64)
+        ranks = np.arange(self.n_slots)
+        #: Class and slot of each rank; rank 0 is that of words outside the head.
+        self.class_of = np.concatenate([[0], 1 + ranks // SLOTS, CLASSES + bins]).astype(np.int64)
+        self.slot_of = np.concatenate([[0], ranks % SLOTS, np.zeros(len(tail))]).astype(np.int64)
+        rest = self.total - counts.sum() - (tail.sum() - ALPHA * len(tail))
+        sums = np.concatenate([counts.sum(1), np.bincount(bins, tail, tails)])
+        sums[0] = max(rest, 0) + ALPHA * (self.distinct - len(self.head) + 1)
         used = sums > 0
+        #: Of classes without slots: log10 of the mass that the counts inside are divided by.
+        self.within_log = np.log10(np.where(used, sums, 1))
+        self.class_weights, self.word_weights = np.zeros((self.rows, self.n_classes), np.float32), np.zeros((self.rows, SLOTS), np.float32)
         with np.errstate(divide="ignore"):
             self.class_bias = np.where(used, np.log(np.maximum(sums, 1e-300) / sums.sum()), -1e9).astype(np.float32)
-            shares = np.divide(counts, sums[:, None], out=np.zeros_like(counts), where=used[:, None])
+            shares = np.divide(counts, sums[:CLASSES, None], out=np.zeros_like(counts), where=used[:CLASSES, None])
             self.word_bias = np.where(counts > 0, np.log(np.maximum(shares, 1e-300)), -1e9).astype(np.float32)
         p = np.exp(self.class_bias.astype(float))
         self.class_curve, self.word_curve = p * (1 - p), (shares * (1 - shares)).max(0)
@@ -110,10 +124,10 @@ class Model:
         return self.words
 
     def feature_rows(self, hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """ROWS indexes (features, tokens); place: of each token in its text."""
+        """Indexes of weight rows (features, tokens); place: of each token in its text."""
         back = [np.where(place >= k, np.roll(hashes, k), np.uint64(k)) for k in (1, 2, 3)]
         mixes = (back[0] * np.uint64(0x9E3779B97F4A7C15), back[0] * np.uint64(0xC2B2AE3D27D4EB4F) + back[1] * np.uint64(0x165667B19E3779F9), back[1] * np.uint64(0xD6E8FEB86659FD93), back[2] * np.uint64(0xA0761D6478BD642F))
-        return np.stack([(m ^ m >> np.uint64(31)) * np.uint64(0xE7037ED1A0B428DB) >> np.uint64(64 - int(math.log2(ROWS))) for m in mixes]).astype(np.int64)
+        return np.stack([(m ^ m >> np.uint64(31)) * np.uint64(0xE7037ED1A0B428DB) >> np.uint64(65 - self.rows.bit_length()) for m in mixes]).astype(np.int64)
 
     def factors(self, rows: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Class logits of all tokens; those with a slot, their word rows and their slot logits. Held under 60, so that exp() can't overflow."""
@@ -121,8 +135,8 @@ class Model:
         for r in rows[1:]:
             z += self.class_weights[r]
         z += self.class_bias
-        slotted = np.flatnonzero(classes)
-        within = (rows[:, slotted] * 31 + classes[slotted] * 1031) & (ROWS - 1)
+        slotted = np.flatnonzero((classes > 0) & (classes < CLASSES))
+        within = (rows[:, slotted] * 31 + classes[slotted] * 1031) & (self.rows - 1)
         y = self.word_bias[classes[slotted]]
         for r in within:
             y += self.word_weights[r]
@@ -173,8 +187,7 @@ def token_batches(model: Model, batches: Iterator[pa.RecordBatch], column: int)
 
 
 def classes_of(model: Model, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    slotted = (ranks > 0) & (ranks <= model.n_slots)
-    return np.where(slotted, 1 + (ranks - 1) // SLOTS, 0), np.where(slotted, (ranks - 1) % SLOTS, 0)
+    return model.class_of[ranks], model.slot_of[ranks]
 
 
 def parts_of(n: int, size: int) -> Iterator[slice]:
@@ -185,7 +198,7 @@ def add_rows(to: np.ndarray, rows: np.ndarray, what: np.ndarray) -> None:
     """to[rows] += what and, in the last column, the number of rows, where rows repeat."""
     if not len(rows):
         return
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    order = np.argsort(rows.astype(np.uint16 if len(to) <= 1 << 16 else np.uint32), kind="stable")
     found = rows[order]
     starts = np.flatnonzero(np.diff(found, prepend=-1))
     to[found[starts], :-1] += np.add.reduceat(what[order], starts, axis=0)
@@ -194,7 +207,7 @@ def add_rows(to: np.ndarray, rows: np.ndarray, what: np.ndarray) -> None:
 
 def gradient(model: Model, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     """Per feature row: the class gradient and its tokens, the word gradient and its tokens; of the texts in the batches' only column."""
-    by_class, by_word = np.zeros((ROWS, CLASSES + 1), np.float32), np.zeros((ROWS, SLOTS + 1), np.float32)
+    by_class, by_word = np.zeros((model.rows, model.n_classes + 1), np.float32), np.zeros((model.rows, SLOTS + 1), np.float32)
     for _, _, _, ranks, hashes, place in token_batches(model, batches, 0):
         classes, slots = classes_of(model, ranks)
         rows = model.feature_rows(hashes, place)
@@ -212,10 +225,10 @@ def gradient(model: Model, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
 
 
 def gradient_sum(model: Model, texts: DataFrame) -> np.ndarray:
-    """gradient() over all texts: blocks of rows are added by salted block, then by block; the driver gets one sum of fixed size."""
+    """gradient() over all texts: blocks of rows are added by salted block, then by block; the driver gets one sum of the model's size."""
     spark = texts.sparkSession
     held = spark.sparkContext.broadcast(model)
-    width = CLASSES + SLOTS + 2
+    width = model.n_classes + SLOTS + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -235,13 +248,14 @@ def gradient_sum(model: Model, texts: DataFrame) -> np.ndarray:
 
     schema = "block int, salt int, data binary"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salted = texts.mapInArrow(run, schema).repartition(parts, "block", "salt").mapInArrow(add, schema)
+    # every task hands on a whole gradient, so there are as many as cores can use, however large the input
+    salted = texts.coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(run, schema).repartition(parts, "block", "salt").mapInArrow(add, schema)
     summed = salted.repartition(min(parts, BLOCKS), "block").mapInArrow(add, schema)
-    out = np.zeros((BLOCKS, ROWS // BLOCKS * width), np.float32)
+    out = np.zeros((BLOCKS, model.rows // BLOCKS * width), np.float32)
     for row in summed.collect():
         out[row.block] += np.frombuffer(row.data, np.float32)
     held.unpersist()
-    return out.reshape(ROWS, width)
+    return out.reshape(model.rows, width)
 
 
 def frequent(counts: DataFrame, most: int = HEAD) -> list[tuple[str, int]]:
@@ -265,7 +279,7 @@ def train(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     for k in range(rounds if total else 0):
         g = gradient_sum(model, texts.where(F.pmod(F.col("part"), F.lit(rounds)) == k).select("text"))
         # a diagonal Newton step: a row's curvature is its tokens times that of the bias
-        for weights, grad, n, curve in ((model.class_weights, g[:, :CLASSES], g[:, CLASSES], model.class_curve), (model.word_weights, g[:, CLASSES + 1 : -1], g[:, -1], model.word_curve)):
+        for weights, grad, n, curve in ((model.class_weights, g[:, : model.n_classes], g[:, model.n_classes], model.class_curve), (model.word_weights, g[:, model.n_classes + 1 : -1], g[:, -1], model.word_curve)):
             weights += (STEP * grad / (n[:, None] * np.maximum(curve, 1e-3) + RIDGE)).astype(np.float32)
     return model, counts
 
@@ -277,7 +291,6 @@ def score_rows(rows: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        tail_log = math.log10(model.tail_norm)
         for docs, words, first, ranks, hashes, place in token_batches(model, batches, 2):
             classes, slots = classes_of(model, ranks)
             features = model.feature_rows(hashes, place)
@@ -289,7 +302,7 @@ def score_rows(rows: DataFrame, model: Model) -> DataFrame:
                 logs[s] = found / math.log(10)
             known = ranks > 0
             base = np.where(known, model.log_counts[ranks], 0.0)
-            logs += np.where(classes == 0, base - tail_log, 0.0)
+            logs += np.where((classes == 0) | (classes >= CLASSES), base - model.within_log[classes], 0.0)
             ends = np.append(first[1:], len(ranks))
             rare_words, rare_counts, offsets = [], [], [0]
             rare_places = np.flatnonzero(~known)

@@ -451,6 +451,20 @@ def test_features_reach_three_words_back():
     assert len(rows[0]) == 4 and (rows[0] != rows[1]).sum() == 1
 
 
+def test_model_grows_with_tokens_and_words():
+    small = maxent.Model([(f"w{i}", 1000 - i) for i in range(600)], 1 << 20, 700)
+    large = maxent.Model([(f"w{i}", 10**8 - i) for i in range(600)], 1 << 36, 700)
+    assert large.rows > small.rows == len(small.class_weights) and large.n_classes > small.n_classes > maxent.CLASSES
+    for model in (small, large):
+        classes, slots = maxent.classes_of(model, np.arange(601))
+        assert classes[1:].min() > 0 and classes.max() == model.n_classes - 1
+        inside = np.where((classes == 0) | (classes >= maxent.CLASSES), 10 ** (model.log_counts - model.within_log[classes]), np.exp(model.word_bias[np.minimum(classes, maxent.CLASSES - 1), slots]))
+        unlisted = 0.1 * (700 - 600 + 1) + model.total - sum(n for _, n in model.head) if model is small else None
+        sums = np.bincount(classes[1:], inside[1:], model.n_classes)
+        assert np.allclose(sums[1:], 1, atol=1e-4) and abs(np.exp(model.class_bias.astype(float)).sum() - 1) < 1e-4
+        assert unlisted is None or math.isclose(10 ** model.within_log[0], unlisted)
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     df = maxent.op10(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
     assert df.agg(F.sum(F.col("score") - F.col("base_score"))).first()[0] > 0
