@@ -30,6 +30,15 @@ def count_by(table: DataFrame, key: Column | str, value: int) -> DataFrame:
     return table.where((F.col(key) if isinstance(key, str) else key) == F.lit(signed(value))).agg(F.count("*").alias("n"))
 
 
+def rows_at(table: DataFrame, hits: DataFrame) -> DataFrame:
+    """Rows of the ordinals in hits, by ordinal. Their span, from their count, least and greatest, goes into the table's scan."""
+    span = hits.agg(F.count("*").alias("n"), F.min("ordinal").alias("a"), F.max("ordinal").alias("b")).first()
+    if not span.n:
+        return table.limit(0)
+    near = table.where(F.col("ordinal").between(span.a, span.b))
+    return near.join(F.broadcast(hits) if span.n <= BROADCAST_KEYS else hits, "ordinal", "left_semi").orderBy("ordinal")
+
+
 def find_address(addresses: DataFrame, text: str) -> DataFrame:
     """Rows with just this address: candidates by the eight-character prefix, confirmed by the whole text."""
     if len(text) != codecs.ADDRESS_LENGTH or not text.isascii():
@@ -39,7 +48,7 @@ def find_address(addresses: DataFrame, text: str) -> DataFrame:
 
 def prefix_candidates(addresses: DataFrame, text: str) -> DataFrame:
     """What the prefix alone finds."""
-    return addresses.where(F.substring("address", 1, codecs.PREFIX_LENGTH) == text[: codecs.PREFIX_LENGTH]).orderBy("ordinal")
+    return addresses.where(F.col("address").startswith(text[: codecs.PREFIX_LENGTH])).orderBy("ordinal")
 
 
 def transactions_in_packed_block(transactions: DataFrame, block: int) -> DataFrame:

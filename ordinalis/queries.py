@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import codecs
@@ -35,12 +35,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-_stored: dict[tuple[str, str, str], str] = {}
+_stored: dict[tuple, str] = {}
 
 
-def stored(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame], order: str) -> DataFrame:
-    """The table with ordinals, as a store keeps it: numbered and written once for a session and folder, then read by all queries."""
-    key = (spark.sparkContext.applicationId, folder, name)
+def files_of(spark: SparkSession, folder: str, name: str) -> tuple[str, ...]:
+    """The table's files with their sizes and times of change: what is kept for a folder is made anew if they differ."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(f"{x.getPath()} {x.getLen()} {x.getModificationTime()}" for x in found)
+
+
+def stored(spark: SparkSession, folder: str, name: str, source: str, make: Callable[[], DataFrame], order: str) -> DataFrame:
+    """The table with ordinals, as a store keeps it: numbered and written once for a session and the source's files, then read by all queries."""
+    key = (spark.sparkContext.applicationId, name, *files_of(spark, folder, source))
     if key not in _stored:
         numbered, _ = number_rows(make(), order)
         path = fresh_path(spark, name)
@@ -57,7 +64,7 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
         cents = F.round(F.col("o_totalprice") * 100).cast("long")
         return rows.select(F.col("o_custkey").alias("v0"), ((F.col("o_custkey") + F.col("o_orderkey")) % 1000).alias("v1"), F.coalesce(before, F.lit(0)).alias("v2"), F.col("o_orderkey").alias("v3"), F.shiftleft(block, 43).bitwiseOR(cents).alias("v4"))
 
-    return stored(spark, folder, "transactions", make, "v3").select("ordinal", "v0", "v1", "v2", "v3", "v4")
+    return stored(spark, folder, "transactions", "orders", make, "v3").select("ordinal", "v0", "v1", "v2", "v3", "v4")
 
 
 def transactions_by_order(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,7 +76,7 @@ def transactions_by_order(spark: SparkSession, folder: str) -> DataFrame:
 
 def addresses(spark: SparkSession, folder: str) -> DataFrame:
     make = lambda: table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), codecs.padded_address(F.col("c_name")).alias("address"))
-    return stored(spark, folder, "addresses", make, "id").select("ordinal", "id", "address")
+    return stored(spark, folder, "addresses", "customer", make, "id").select("ordinal", "id", "address")
 
 
 def blocks(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,19 +132,36 @@ def probes(spark: SparkSession) -> DataFrame:
     return spark.range(0, 400, 4).select(F.col("id").alias("probe"))
 
 
-def postings(rows: DataFrame, key: str, low: Column) -> DataFrame:
-    return rows.where(low).select(F.col(key).alias("key"), "ordinal")
+def hex_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys of orders in hexadecimal, a fifth each plain, with a prefix, in capitals, and two that don't parse."""
+    key, digits = F.col("o_orderkey") % 5, codecs.to_hex(F.col("o_orderkey"), padded=False)
+    spelled = F.when(key == 0, digits).when(key == 1, F.concat(F.lit("0x"), digits)).when(key == 2, F.upper(digits)).when(key == 3, F.concat(digits, F.lit("g"))).otherwise(F.concat(F.lit(" "), digits))
+    return table(spark, folder, "orders").select(spelled.alias("s"))
 
 
 def texts(spark: SparkSession, values: list[str]) -> DataFrame:
     return spark.createDataFrame([(v,) for v in values], "s string")
 
 
+def run_of(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    """A sorted run of an index over the stored transactions, written once: key, ordinal."""
+
+    def write() -> str:
+        path = fresh_path(spark, f"run-{key}")
+        rows = transactions(spark, folder).select(F.col(key).alias("key"), "ordinal")
+        rows.repartitionByRange("key", "ordinal").sortWithinPartitions("key", "ordinal").write.option("parquet.bloom.filter.enabled#key", "true").parquet(path)
+        return path
+
+    name = (spark.sparkContext.applicationId, f"run-{key}", *files_of(spark, folder, "orders"))
+    if name not in _stored:
+        _stored[name] = write()
+    return spark.read.schema("key long, ordinal long").parquet(_stored[name])
+
+
 def by_index_run(spark: SparkSession, folder: str) -> DataFrame:
-    """Ordinals from a run of postings, then their rows."""
-    rows = transactions(spark, folder)
-    hits = lookup.find_ordinals(rows.select(F.col("v0").alias("key"), "ordinal"), "key", KEY)
-    return rows.join(hits, "ordinal", "left_semi")
+    """Ordinals from a sorted run of postings, then their rows, by ordinal."""
+    hits = lookup.find_ordinals(run_of(spark, folder, "v0"), "key", KEY)
+    return lookup.rows_at(transactions(spark, folder), hits)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -166,11 +190,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "transactions_by_packed_amount": lambda s, d: lookup.transactions_by_packed_amount(transactions(s, d).withColumn("v4", F.col("v4") % 1000 + F.shiftleft(codecs.block_of(F.col("v4")), 43)), KEY),
         "hex_padded": lambda s, d: transactions_by_order(s, d).select("v3", codecs.to_hex(F.col("v3")).alias("hex")),
         "hex_unpadded": lambda s, d: transactions_by_order(s, d).select("v3", codecs.to_hex(F.col("v3"), padded=False).alias("hex")),
-        "hex_try_parse": lambda s, d: texts(s, HEX_TEXTS).select("s", codecs.to_hex(codecs.try_parse_hex(F.col("s"))).alias("value")),
+        "hex_try_parse": lambda s, d: hex_texts(s, d).unionByName(texts(s, HEX_TEXTS)).select("s", codecs.to_hex(codecs.try_parse_hex(F.col("s"))).alias("value")),
         "address_prefix": lambda s, d: table(s, d, "customer").select("c_custkey", codecs.address_prefix(F.reverse("c_name")).alias("prefix")),
         "address_is_valid": lambda s, d: table(s, d, "customer").select("c_custkey", codecs.address_is_valid(F.when(F.col("c_custkey") % 2 == 0, codecs.padded_address(F.col("c_name"))).otherwise(F.col("c_name"))).alias("valid")),
         "pad_address": lambda s, d: table(s, d, "customer").select("c_custkey", codecs.padded_address(F.col("c_name")).alias("a"), codecs.padded_tx(F.repeat("c_name", F.lit(5))).alias("t")),
-        "base58_short_id": lambda s, d: texts(s, list(BASE58)).select("s", codecs.base58_short_id(F.col("s")).alias("id")),
+        "base58_short_id": lambda s, d: table(s, d, "customer").select(F.translate("c_name", "#0", "zA").alias("s")).unionByName(texts(s, list(BASE58))).select("s", codecs.base58_short_id(F.col("s")).alias("id")),
         "base58_binary": lambda s, d: table(s, d, "customer").select("c_custkey", codecs.to_binary_digits(F.encode("c_name", "UTF-8"), little_endian=True, grouped=True).alias("bits")),
         "reverse_hex": lambda s, d: table(s, d, "customer").select("c_custkey", codecs.reversed_hex(F.encode("c_name", "UTF-8")).alias("hex")),
         "block_log": lambda s, d: ingest.block_changes(blocks(s, d)),
@@ -180,15 +204,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ingest_clamp": lambda s, d: transactions_by_order(s, d).select("v3", codecs.amount_of(codecs.pack(F.col("block"), F.col("amount") * 1_000_000)).alias("amount")),
         "probe_counts": lambda s, d: lookup.probe_counts(probes(s), transactions_by_order(s, d), "v0", 100),
         "index_key_stats": lambda s, d: lookup.key_statistics(transactions(s, d), {f"v{i}": F.col(f"v{i}") for i in range(4)}),
-        "bag_union_segments": lambda s, d: (lambda t: lookup.union_runs([postings(t, "v0", F.col("ordinal") < 500), postings(t, "v0", F.col("ordinal").between(500, 899)), postings(t, "v0", F.col("ordinal") >= 900)]))(transactions(s, d)),
-        "index_rebuild_tail": lambda s, d: postings(transactions(s, d), "v1", F.col("ordinal") >= 1000),
+        "bag_union_segments": lambda s, d: (lambda t: lookup.union_runs([t.where("ordinal < 500"), t.where("ordinal between 500 and 899"), t.where("ordinal >= 900")]))(run_of(s, d, "v0")),
+        "index_rebuild_tail": lambda s, d: transactions(s, d).where("ordinal >= 1000").select(F.col("v1").alias("key"), "ordinal"),
         "find_by_index_run": by_index_run,
         "from_hex": lambda s, d: transactions_by_order(s, d).select("v3", codecs.from_hex(F.concat(F.lit(" 000"), codecs.to_hex(F.col("v3")), F.lit(" "))).alias("value")),
         "tx_short_id": lambda s, d: transactions_by_order(s, d).select("v3", codecs.tx_short_id(F.concat(codecs.to_hex(F.col("v3")), F.lit("ffff"))).alias("short")),
         "unsigned_decimal": lambda s, d: transactions_by_order(s, d).select("v3", codecs.unsigned(-F.col("v3") - 1).cast("string").alias("value")),
         "hex_of_bytes": lambda s, d: table(s, d, "customer").select("c_custkey", codecs.hex_of_bytes(F.encode("c_name", "UTF-8")).alias("hex")),
         "address_with_prefix": lambda s, d: table(s, d, "customer").select("c_custkey", codecs.address_with_prefix(F.substring("c_name", 1, 8), "f").alias("address")),
-        "canonical_ids": lambda s, d: ingest.canonical_ids(addresses(s, d).withColumn("address", F.substring("address", 1, 17))),
+        "canonical_ids": lambda s, d: ingest.canonical_ids(addresses(s, d).withColumn("address", F.regexp_replace("address", "[0-9]A*$", ""))),
         "resolve_packed_blocks": lambda s, d: transactions(s, d).groupBy(codecs.block_of(F.col("v4")).alias("block")).agg(F.count("*").alias("n"), F.sum(codecs.amount_of(F.col("v4"))).alias("amount")),
         "synthetic_transactions": lambda s, d: synthetic.transactions(s, 10_000),
         "synthetic_addresses": lambda s, d: synthetic.addresses(s, 1_000),
@@ -206,6 +230,14 @@ def oracle_sql() -> dict[str, str]:
         out[f"find_by_{name}"] = tx(f"SELECT * FROM tx WHERE {name} = {value}")
         out[f"find_ordinals_by_{name}"] = tx(f"SELECT ordinal FROM tx WHERE {name} = {value}")
         out[f"count_by_{name}"] = tx(f"SELECT count(*) AS n FROM tx WHERE {name} = {value}")
+    hex_keys = "SELECT CASE o_orderkey % 5 WHEN 0 THEN h WHEN 1 THEN '0x' || h WHEN 2 THEN upper(h) WHEN 3 THEN h || 'g' ELSE ' ' || h END FROM (SELECT o_orderkey, lower(to_hex(o_orderkey)) AS h FROM orders)"
+    # the decoded number in hexadecimal, its bytes in reverse, and sixteen nibbles from the sixth on as a signed value
+    number = f"list_reduce(list_transform(string_split(s, ''), lambda c: (strpos('{codecs.BASE58_ALPHABET}', c) - 1)::HUGEINT), lambda a, x: a * 58 + x)"
+    nibbles = "list_transform(range(1, 17), lambda i: (strpos('0123456789abcdef', substr(r, i + 5, 1)) - 1)::HUGEINT)"
+    short_ids = f"""SELECT s, CASE WHEN v >= 9223372036854775808::HUGEINT THEN (v - 18446744073709551616::HUGEINT)::BIGINT ELSE v::BIGINT END FROM (
+  SELECT s, list_reduce({nibbles}, lambda a, x: a * 16 + x) AS v FROM (
+    SELECT s, array_to_string(list_reverse(list_transform(range(0, (length(h) / 2)::BIGINT), lambda i: substr(h, 2 * i + 1, 2))), '') AS r FROM (
+      SELECT s, CASE WHEN length(x) % 2 = 1 THEN '0' || x ELSE x END AS h FROM (SELECT s, lower(to_hex({number})) AS x FROM (SELECT translate(c_name, '#0', 'zA') AS s FROM customer)))))"""
     hex_rows = ", ".join("('" + x + "')" for x in HEX_TEXTS)
     base_rows = ", ".join(f"('{k}', {v[1]})" for k, v in BASE58.items())
     # the prefix as a sum of eight bytes; the top one stays under 128
@@ -229,11 +261,11 @@ def oracle_sql() -> dict[str, str]:
         "transactions_by_packed_amount": tx(f"SELECT ordinal, v0, v1, v2, v3, v4 % 1000 + ((v4 >> 43) << 43) AS v4 FROM tx WHERE (v4 % 1000 + ((v4 >> 43) << 43)) & 8796093022207 = {KEY}"),
         "hex_padded": "SELECT o_orderkey AS v3, lpad(lower(to_hex(o_orderkey)), 16, '0') AS hex FROM orders",
         "hex_unpadded": "SELECT o_orderkey AS v3, lower(to_hex(o_orderkey)) AS hex FROM orders",
-        "hex_try_parse": f"SELECT s, CASE WHEN regexp_full_match(s, '(0[xX])?[0-9a-fA-F]{{1,16}}') THEN lpad(lower(regexp_replace(s, '^0[xX]', '')), 16, '0') END AS value FROM (VALUES {hex_rows}) t(s)",
+        "hex_try_parse": f"SELECT s, CASE WHEN regexp_full_match(s, '(0[xX])?[0-9a-fA-F]{{1,16}}') THEN lpad(lower(regexp_replace(s, '^0[xX]', '')), 16, '0') END AS value FROM (SELECT * FROM (VALUES {hex_rows}) t(s) UNION ALL {hex_keys})",
         "address_prefix": f"SELECT c_custkey, {prefix} AS prefix FROM customer",
         "address_is_valid": f"SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN length(rpad(c_name, {ADDRESS_LENGTH}, 'A')) ELSE length(c_name) END = {ADDRESS_LENGTH} AS valid FROM customer",
         "pad_address": f"SELECT c_custkey, rpad(c_name, {ADDRESS_LENGTH}, 'A') AS a, CASE WHEN length(repeat(c_name, 5)) < {ADDRESS_LENGTH} THEN rpad(repeat(c_name, 5), {ADDRESS_LENGTH}, 'T') ELSE repeat(c_name, 5) END AS t FROM customer",
-        "base58_short_id": f"SELECT s, id::BIGINT AS id FROM (VALUES {base_rows}) t(s, id)",
+        "base58_short_id": f"SELECT s, id::BIGINT AS id FROM (VALUES {base_rows}) t(s, id) UNION ALL {short_ids}",
         "base58_binary": "SELECT c_custkey, array_to_string([lpad(to_binary(ascii(c)), 8, '0') for c in string_split(reverse(c_name), '')], ' ') AS bits FROM customer",
         "reverse_hex": "SELECT c_custkey, lower(hex(encode(reverse(c_name)))) AS hex FROM customer",
         "block_log": f"WITH {LOG} SELECT seq, block FROM (SELECT seq, block, lag(block) OVER (ORDER BY seq) AS b FROM blocks) WHERE block IS DISTINCT FROM b",
@@ -252,7 +284,7 @@ FROM orders JOIN known a ON a.address = rpad('c' || o_custkey, {ADDRESS_LENGTH},
         "unsigned_decimal": "SELECT o_orderkey AS v3, (18446744073709551615::HUGEINT - o_orderkey)::VARCHAR AS value FROM orders",
         "hex_of_bytes": "SELECT c_custkey, hex(encode(c_name)) AS hex FROM customer",
         "address_with_prefix": f"SELECT c_custkey, rpad(substr(c_name, 1, 8), {ADDRESS_LENGTH}, 'f') AS address FROM customer",
-        "canonical_ids": addr("SELECT substr(address, 1, 17) AS address, arg_min(id, ordinal) AS id FROM addr GROUP BY 1"),
+        "canonical_ids": addr("SELECT regexp_replace(address, '[0-9]A*$', '') AS address, arg_min(id, ordinal) AS id FROM addr GROUP BY 1"),
         "resolve_packed_blocks": tx("SELECT v4 >> 43 AS block, count(*) AS n, sum(v4 & 8796093022207)::BIGINT AS amount FROM tx GROUP BY 1"),
         "index_rebuild_tail": tx("SELECT v1 AS key, ordinal FROM tx WHERE ordinal >= 1000"),
     }

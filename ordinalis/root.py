@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
@@ -18,15 +17,17 @@ from .sources.files import Files
 from .sources.options import StoreOptions, write_or_verify
 from .store import LedgerStore
 
-BLOCK_LOG_STATE = "blocklog.json"
+#: Name of the block log's state in the commits of the transactions.
+BLOCK_LOG_STATE = "block_log"
 
 
 class BlockChangeLog:
-    """Changes of the block number, in the order of arrival, with the time each was first seen. A folder of Parquet and its last state."""
+    """Changes of the block number, in the order of arrival, with the time each was first seen: folders of Parquet, and a state that
+    says which count. The state is committed with the transactions, so that no row is without its block, nor a block without its row."""
 
-    def __init__(self, spark: SparkSession, files: Files):
+    def __init__(self, spark: SparkSession, files: Files, state: dict | None = None):
         self.spark, self.files = spark, files
-        self.state = json.loads(files.read(BLOCK_LOG_STATE)) if files.exists(BLOCK_LOG_STATE) else {"seq": 0, "last": None, "parts": []}
+        self.state = state or {"seq": 0, "last": None, "parts": []}
 
     @property
     def last(self) -> int | None:
@@ -37,14 +38,11 @@ class BlockChangeLog:
         paths = [f"{self.files.root}/{p}" for p in self.state["parts"]]
         return self.spark.read.schema(BLOCK_LOG).parquet(*paths) if paths else self.spark.createDataFrame([], BLOCK_LOG)
 
-    def log(self, rows: DataFrame, order: str = "seq", at: datetime | None = None, token: tuple[str, int] | None = None) -> None:
+    def log(self, rows: DataFrame, order: str = "seq", at: datetime | None = None) -> None:
         """Logs each row's block that isn't the one logged before it; all rows of a batch are stamped alike, to the millisecond.
 
-        token: a stream's name and batch; a batch that is in already, by its number, isn't logged again.
+        What a lost commit had written is written over.
         """
-        tokens = self.state.setdefault("tokens", {})
-        if token and tokens.get(token[0], -1) >= token[1]:
-            return
         now = at or datetime.now(UTC)
         now = now.replace(microsecond=now.microsecond // 1000 * 1000)
         path = f"blocklog/{self.state['seq']:012d}-{len(self.state['parts'])}"
@@ -55,14 +53,9 @@ class BlockChangeLog:
             if n:
                 numbered.select(F.col("ordinal").alias("seq"), "block", F.lit(now).cast("timestamp").alias("first_seen_ts")).write.mode("overwrite").parquet(f"{self.files.root}/{path}")
                 last = self.spark.read.parquet(f"{self.files.root}/{path}").agg(F.max_by("block", "seq")).first()[0]
-                self.state |= {"seq": self.state["seq"] + n, "last": last, "parts": [*self.state["parts"], path]}
+                self.state = {"seq": self.state["seq"] + n, "last": last, "parts": [*self.state["parts"], path]}
         finally:
             self.files.delete(staged)
-        if token:
-            tokens[token[0]] = token[1]
-
-    def flush(self) -> None:
-        self.files.write(BLOCK_LOG_STATE, json.dumps(self.state))
 
     def lines(self) -> DataFrame:
         """value: the log as lines of text, "block stamp", by seq."""
@@ -78,8 +71,8 @@ class LedgerRoot:
         self.files = Files(spark, path)
         self.files.make_folder()
         write_or_verify(self.files, self.options)
-        self.block_log = BlockChangeLog(spark, self.files)
         self.transactions = LedgerStore(spark, path, TRANSACTIONS, self.options)
+        self.block_log = BlockChangeLog(spark, self.files, self.transactions.manifest.attached.get(BLOCK_LOG_STATE))
         self.addresses = LedgerStore(spark, path, ADDRESSES, self.options)
         self.closed = False
 
@@ -95,29 +88,52 @@ class LedgerRoot:
             self.closed = True
 
     def flush(self, token: tuple[str, int] | None = None) -> None:
-        """Addresses, the block log, then transactions, which name their addresses; a stream's batch is in when its transactions are."""
+        """Addresses first, which a replay finds and doesn't add again; then, in one step, transactions, the block log and the stream's batch."""
         self.addresses.flush()
-        self.block_log.flush()
-        self.transactions.flush(token)
+        self.transactions.flush(token, {BLOCK_LOG_STATE: self.block_log.state})
 
     # writes
 
+    def _together(self, write: Callable[[], int], token: tuple[str, int] | None = None) -> int:
+        """Rows and their blocks are in the same commit, made at the end if there is a token or a store is full. After an error neither is pending."""
+        held = list(self.transactions.pending), self.block_log.state
+        try:
+            first = write()
+            if token or self.transactions.full or self.addresses.full:
+                self.flush(token)
+            return first
+        except BaseException:
+            self.transactions.pending, self.block_log.state = held
+            raise
+
     def add_transactions(self, batch: DataFrame, order: str = "seq", token: tuple[str, int] | None = None) -> int:
-        """A ledger batch, as LEDGER_BATCH, in the order of a column: absent addresses are stored, ids resolved, transactions appended, blocks logged."""
+        """A ledger batch, as LEDGER_BATCH, in the order of a column: absent addresses are stored, ids resolved, transactions appended, blocks logged.
+
+        token: a stream's name and batch, committed with the rows; a batch that is in already, by its number, changes nothing.
+        """
+        if token and self.transactions.manifest.tokens.get(token[0], -1) >= token[1]:
+            return self.transactions.count
         rows = batch.select(F.col(order).alias("seq"), *[F.col(f"`{c}`") for c in LEDGER_BATCH])
-        new = ingest.addresses_to_insert(rows, self.addresses.table)
-        self.addresses.append_range(new.select((F.col("seq") * 4 + F.col("pos")).alias("seq"), "id", "address"))
-        resolved = ingest.resolve_transactions(rows, self.addresses.table)
-        first = self.transactions.append_range(resolved)
-        self.block_log.log(rows.select("seq", F.col("block").cast("long").alias("block")), token=token)
-        return first
+
+        def write() -> int:
+            new = ingest.addresses_to_insert(rows, self.addresses.table)
+            self.addresses.append_range(new.select((F.col("seq") * 4 + F.col("pos")).alias("seq"), "id", "address"), commit=False)
+            first = self.transactions.append_range(ingest.resolve_transactions(rows, self.addresses.table), commit=False)
+            self.block_log.log(rows.select("seq", F.col("block").cast("long").alias("block")))
+            return first
+
+        return self._together(write, token)
 
     def add_packed_transactions(self, batch: DataFrame, order: str = "seq") -> int:
         """Rows of seq, v0..v3, block and amount, appended as they are, with their blocks logged."""
         rows = ingest.packed_transactions(batch.withColumn("seq", F.col(order)))
-        first = self.transactions.append_range(rows)
-        self.block_log.log(rows.select("seq", "block"))
-        return first
+
+        def write() -> int:
+            first = self.transactions.append_range(rows, commit=False)
+            self.block_log.log(rows.select("seq", "block"))
+            return first
+
+        return self._together(write)
 
     def add_transaction(self, *values: object) -> int:
         """One transaction: the ten values of LEDGER_BATCH, or v0, v1, v2, v3, block, amount."""

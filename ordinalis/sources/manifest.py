@@ -23,7 +23,7 @@ class Batch:
 
 @dataclass
 class Segment:
-    """A sorted run of postings, of ordinals below covered_up_to; keys are compared as longs."""
+    """A sorted run of postings, one file, of ordinals below covered_up_to; keys are compared as longs."""
 
     path: str
     level: int
@@ -41,6 +41,8 @@ class Manifest:
     indexes: dict[str, list[Segment]] = field(default_factory=dict)
     #: Names of streaming batches that are in, so that a replay does nothing.
     tokens: dict[str, int] = field(default_factory=dict)
+    #: State that its owner commits along with the rows.
+    attached: dict = field(default_factory=dict)
 
     def covered(self, index: str) -> int:
         return max((s.covered_up_to for s in self.indexes.get(index, [])), default=0)
@@ -54,7 +56,7 @@ def read(files: Files, folder: str) -> Manifest:
         return Manifest()
     try:
         x = json.loads(files.read(f"{folder}/{FILE}"))
-        return Manifest(x["committed"], x["next_id"], [Batch(**b) for b in x["batches"]], {k: [Segment(**s) for s in v] for k, v in x["indexes"].items()}, x["tokens"])
+        return Manifest(x["committed"], x["next_id"], [Batch(**b) for b in x["batches"]], {k: [Segment(**s) for s in v] for k, v in x["indexes"].items()}, x["tokens"], x.get("attached", {}))
     except (json.JSONDecodeError, KeyError, TypeError) as e:
         raise ManifestError(f"the manifest of {folder} can't be read: {e}") from e
 

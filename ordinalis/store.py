@@ -8,9 +8,10 @@ visible to this store alone.
 from __future__ import annotations
 
 from collections.abc import Callable
+from copy import deepcopy
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .model import POSTING, StoreSpec, signed
@@ -28,6 +29,8 @@ class LedgerStore:
         self.files = Files(spark, root)
         self.files.make_folder(spec.name)
         self.manifest: Manifest = manifests.read(self.files, spec.name)
+        if not self.files.exists(f"{spec.name}/{manifests.FILE}"):
+            manifests.write(self.files, spec.name, self.manifest)  # so that what a crash leaves before the first commit is told from a lost manifest
         for b in self.manifest.batches:
             if not self.files.exists(b.path):
                 raise manifests.ManifestError(f"{spec.name}: {b.path} is committed but missing")
@@ -72,11 +75,17 @@ class LedgerStore:
         paths = [self._at(b.path) for b in self.manifest.batches + self.pending if b.rows]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def append_range(self, rows: DataFrame, order: str = "seq") -> int:
+    @property
+    def full(self) -> bool:
+        """Whether the pending rows are as many as a store holds before it commits by itself."""
+        return sum(b.rows for b in self.pending) >= self.options.memtable_entries
+
+    def append_range(self, rows: DataFrame, order: str = "seq", commit: bool = True) -> int:
         """Appends rows in the order of a column and returns the first ordinal; no rows change nothing.
 
         Rows are range-partitioned and written once with their place in their task, then once more with ordinals: the tasks' row counts, one
-        number each, give each task its first. Files hold up to a segment. Stores commit by themselves once they hold memtable_entries.
+        number each, give each task its first. Files hold up to a segment. A full store commits by itself, unless commit is off, as
+        where these rows belong to a larger commit.
         """
         fields = [f.name for f in self.spec.fields]
         first = self.count
@@ -95,7 +104,7 @@ class LedgerStore:
             self.pending.append(Batch(path, first, n))
         finally:
             self.files.delete(staged)
-        if sum(b.rows for b in self.pending) >= self.options.memtable_entries:
+        if commit and self.full:
             self.flush()
         return first
 
@@ -110,36 +119,68 @@ class LedgerStore:
                 writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.fpp#{c}", str(max(0.6185**self.options.bloom_bits_per_key, 1e-6)))
         return writer.option("parquet.page.row.count.limit", str(self.options.fence_stride))
 
-    def flush(self, token: tuple[str, int] | None = None) -> None:
-        """Commits pending rows and their postings: folders first, the manifest last. token: a stream's name and batch, committed along."""
-        if not self.pending and token is None:
+    def flush(self, token: tuple[str, int] | None = None, attached: dict | None = None) -> None:
+        """Commits pending rows and their postings: folders first, the manifest last.
+
+        token: a stream's name and batch, and attached: state of the caller's, are committed in the same step.
+        """
+        if not self.pending and token is None and attached in (None, self.manifest.attached):
             return
-        new, covered = self.pending, self.count
-        if new:
-            table = self.spark.read.parquet(*[self._at(b.path) for b in new])
+        covered, made = self.count, {}
+        if self.pending:
+            table = self.spark.read.parquet(*[self._at(b.path) for b in self.pending])
             for name in self.spec.indexes:
-                self.manifest.indexes.setdefault(name, []).extend(self._write_runs(name, self._postings(table, name), 0, covered))
-        self.manifest.batches = self.manifest.batches + new
-        self.manifest.committed, self.pending = covered, []
+                made[name] = self._write_runs(name, self._postings(table, name), 0, covered, sum(b.rows for b in self.pending))
+        new = deepcopy(self.manifest)
+        for name, runs in made.items():
+            new.indexes.setdefault(name, []).extend(runs)
+        new.batches, new.committed = new.batches + self.pending, covered
         if token:
-            self.manifest.tokens[token[0]] = token[1]
-        manifests.write(self.files, self.spec.name, self.manifest)
+            new.tokens[token[0]] = token[1]
+        if attached is not None:
+            new.attached = attached
+        manifests.write(self.files, self.spec.name, new)
+        self.manifest, self.pending = new, []
 
     def _postings(self, table: DataFrame, index: str) -> DataFrame:
         return table.select(self.spec.indexes[index]().alias("key"), "ordinal")
 
-    def _write_runs(self, index: str, postings: DataFrame, level: int, covered: int) -> list[Segment]:
-        """Writes postings as sorted runs of up to max_segment_entries, split by ranges of the key and the ordinal."""
-        path = self._folder(f"index-{index}")
-        cap = self.options.max_segment_entries
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = postings.repartitionByRange(parts, "key", "ordinal").sortWithinPartitions("key", "ordinal")
-        self._bloomed(dealt.write.option("maxRecordsPerFile", cap), ["key"]).parquet(self._at(path))
-        found = self.spark.read.schema(POSTING).parquet(self._at(path)).agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).first()
-        if not found.n:
+    def _write_runs(self, index: str, postings: DataFrame, level: int, covered: int, entries: int) -> list[Segment]:
+        """Writes postings as sorted runs of max_segment_entries, but for the last, each a file of its own; entries: how many there must be.
+
+        Postings beyond one run are numbered by key and ordinal, so that a run's rows are known before it is written, and go to one task
+        for each run.
+        """
+        if not entries:
             return []
-        pieces = [min(cap, found.n - at) for at in range(0, found.n, cap)]
-        return [Segment(path, level, n, covered, found.a, found.b) for n in pieces]
+        path, cap, order = self._folder(f"index-{index}"), self.options.max_segment_entries, ["key", "ordinal"]
+        pieces = -(-entries // cap)
+        staged = f"{self.spec.name}/staged/{path.rsplit('/', 1)[1]}-{index}"
+        try:
+            if pieces == 1:
+                dealt = postings.repartition(1).withColumn("piece", F.lit(0)).sortWithinPartitions(*order)
+            else:
+                numbered, _ = number_rows(postings, order, self._at(staged), name="_n")
+                piece = F.floor(F.col("_n") / cap).cast("int")
+                dealt = numbered.select(*order, piece.alias("piece")).repartition(pieces, "piece").sortWithinPartitions("piece", *order)
+            self._bloomed(dealt.write.partitionBy("piece"), ["key"]).parquet(self._at(path))
+        finally:
+            self.files.delete(staged)
+        written = self.spark.read.schema("key long, ordinal long, piece int").parquet(self._at(path)).groupBy("piece")
+        found = sorted(written.agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).collect())
+        if sum(r.n for r in found) != entries or len(found) != pieces or any(x.b > y.a for x, y in zip(found, found[1:], strict=False)):
+            raise manifests.ManifestError(f"{path}: {sum(r.n for r in found)} postings in {len(found)} runs were written of {entries}, or they aren't in order")
+        return [Segment(f"{path}/piece={r.piece}", level, r.n, covered, r.a, r.b) for r in found]
+
+    def misplaced(self, index: str) -> int:
+        """Postings of the index's runs that stand before one with a smaller key or ordinal in their file; 0 unless a file was made elsewhere."""
+        paths = [self._at(s.path) for s in self.manifest.indexes.get(index, [])]
+        if not paths:
+            return 0
+        rows = self.spark.read.schema(POSTING).parquet(*paths).select("key", "ordinal", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        here = Window.partitionBy("file").orderBy("at")
+        after = rows.select(F.struct("key", "ordinal").alias("x"), F.lead(F.struct("key", "ordinal")).over(here).alias("y"))
+        return after.where("y < x").count()
 
     def _replay(self) -> None:
         """Rebuilds postings that an index lacks, from the rows."""
@@ -151,7 +192,7 @@ class LedgerStore:
             covered = self.manifest.covered(name)
             if covered < self.manifest.committed:
                 rows = self.table.where(F.col("ordinal") >= covered)
-                self.manifest.indexes.setdefault(name, []).extend(self._write_runs(name, self._postings(rows, name), 0, self.manifest.committed))
+                self.manifest.indexes.setdefault(name, []).extend(self._write_runs(name, self._postings(rows, name), 0, self.manifest.committed, self.manifest.committed - covered))
                 changed = True
         if changed:
             manifests.write(self.files, self.spec.name, self.manifest)
@@ -170,12 +211,7 @@ class LedgerStore:
         key = self.spec.indexes[index]()
         if not by_index:
             return lookup.find(self.table, key, value)
-        hits = self.find_ordinals(index, value)
-        span = hits.agg(F.count("*").alias("n"), F.min("ordinal").alias("a"), F.max("ordinal").alias("b")).first()
-        if not span.n:
-            return self.table.limit(0)
-        near = self.table.where(F.col("ordinal").between(span.a, span.b))
-        return near.join(F.broadcast(hits) if span.n <= lookup.BROADCAST_KEYS else hits, "ordinal", "left_semi").orderBy("ordinal")
+        return lookup.rows_at(self.table, self.find_ordinals(index, value))
 
     def find_ordinals(self, index: str, value: int) -> DataFrame:
         return lookup.find_ordinals(self.postings(index, signed(value)), "key", value)
@@ -210,14 +246,12 @@ class LedgerStore:
             while chosen := next_merge(self._runs(index), self.options.merge_fanout, self.options.max_segment_entries):
                 segments = self.manifest.indexes[index]
                 inputs = [segments[r.age] for r in chosen]
-                # runs of one folder that stay behind are told apart by their place in it; folders are read whole, so such a folder's runs go together
-                paths = {s.path for s in inputs}
-                inputs = [s for s in segments if s.path in paths]
-                postings = self.spark.read.schema(POSTING).parquet(*[self._at(p) for p in sorted(paths)])
-                made = self._write_runs(index, postings, chosen[0].level + 1, max(s.covered_up_to for s in inputs))
-                self.manifest.indexes[index] = [s for s in segments if s.path not in paths] + made
+                entries = sum(s.entries for s in inputs)
+                postings = self.spark.read.schema(POSTING).parquet(*[self._at(s.path) for s in inputs])
+                made = self._write_runs(index, postings, chosen[0].level + 1, max(s.covered_up_to for s in inputs), entries)
+                self.manifest.indexes[index] = [s for s in segments if s not in inputs] + made
                 manifests.write(self.files, self.spec.name, self.manifest)
-                done += sum(s.entries for s in inputs)
+                done += entries
                 if callback:
                     callback(Progress(stage, done, total))
         return done
@@ -225,10 +259,19 @@ class LedgerStore:
     def vacuum(self) -> list[str]:
         """Deletes folders that the manifest doesn't name, and returns them; not while another process reads or writes."""
         live = {b.path for b in self.manifest.batches + self.pending} | {s.path for x in self.manifest.indexes.values() for s in x}
-        gone = []
+        folders, gone = {p.split("/piece=")[0] for p in live}, []
+
+        def delete(path: str) -> None:
+            self.files.delete(path)
+            gone.append(path)
+
         for kind in ["staged", "data", *(f"index-{n}" for n in self.spec.indexes)]:
             for name in self.files.names(f"{self.spec.name}/{kind}"):
-                if (path := f"{self.spec.name}/{kind}/{name}") not in live:
-                    self.files.delete(path)
-                    gone.append(path)
+                path = f"{self.spec.name}/{kind}/{name}"
+                if path not in folders:
+                    delete(path)
+                elif path not in live:  # some runs of the folder were merged, others stay
+                    for piece in self.files.names(path):
+                        if piece.startswith("piece=") and f"{path}/{piece}" not in live:
+                            delete(f"{path}/{piece}")
         return gone

@@ -11,10 +11,11 @@ from ordinalis.operators import ingest, lookup
 from ordinalis.plans.compaction import Progress, Run, makes_progress, next_merge, planned_entries
 from ordinalis.root import LedgerRoot
 from ordinalis.sources import fixed_width, synthetic
-from ordinalis.sources.manifest import FILE, ManifestError
+from ordinalis.sources import manifest as manifests
+from ordinalis.sources.manifest import FILE, ManifestError, Segment
 from ordinalis.sources.options import OptionsError, StoreOptions
 from ordinalis.store import LedgerStore
-from ordinalis.streaming.ingest import block_changes_stream, ingest_stream
+from ordinalis.streaming.ingest import block_changes_stream, ingest_stream, log_stream
 
 FIELDS = "seq long, v0 long, v1 long, v2 long, v3 long, v4 long"
 BATCH = "seq long, from_short long, `from` string, to_short long, `to` string, prev_short long, prev_tx string, tx_short long, tx string, amount long, block long"
@@ -238,9 +239,117 @@ def test_block_changes_stream(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(source)
     for at, blocks in ((0, [5, 5, 6]), (3, [6, 5])):
         spark.createDataFrame([(at + i, b) for i, b in enumerate(blocks)], schema).coalesce(1).write.mode("append").parquet(source)
-        query = block_changes_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        keyed = block_changes_stream(stream.withColumn("chain", F.col("seq") % 2), "chain")
+        query = keyed.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
         query.awaitTermination(120)
-    assert values(spark.read.parquet(str(tmp_path / "out")).orderBy("seq").select("seq", "block")) == [(0, 5), (2, 6), (4, 5)]
+        log_stream(stream, str(tmp_path / "log"), str(tmp_path / "c2")).awaitTermination(120)
+    assert values(spark.read.parquet(str(tmp_path / "out")).orderBy("seq").select("key", "seq", "block")) == [("0", 0, 5), ("1", 1, 5), ("0", 2, 6), ("1", 3, 6), ("0", 4, 5)]
+    log = lambda: values(spark.read.schema(schema).parquet(str(tmp_path / "log" / "batch=*")).orderBy("seq"))
+    assert log() == [(0, 5), (2, 6), (4, 5)]
+    for name in ("1", ".1.crc"):  # as after a crash before the stream's own commit: batch 1 runs again
+        (tmp_path / "c2" / "commits" / name).unlink()
+    log_stream(stream, str(tmp_path / "log"), str(tmp_path / "c2")).awaitTermination(120)
+    assert log() == [(0, 5), (2, 6), (4, 5)]
+
+
+def big_batch(n):
+    return [(i, i % 7, f"a{i % 7}", i % 5, f"b{i % 5}", i, f"x{i}", i + 1, f"x{i + 1}", 5, 10 + i // 100) for i in range(n)]
+
+
+@pytest.mark.parametrize("where", ["before the commit", "in the log", "in the manifest"])
+def test_replay_after_a_crash(spark, tmp_path, monkeypatch, where):
+    """A batch over the commit threshold, stopped at three places, is in once after its replay, by a new process or the same one."""
+    options = StoreOptions(memtable_entries=1024, max_segment_entries=4096)
+    batch = spark.createDataFrame(big_batch(1500), BATCH)
+
+    def fail(*_, **__):
+        raise RuntimeError("crash")
+
+    root = LedgerRoot(spark, str(tmp_path), options)
+    root.add_packed_transactions(spark.createDataFrame([(0, 1, 2, 3, 4, 9, 7)], "seq long, v0 long, v1 long, v2 long, v3 long, block long, amount long"))
+    root.flush()
+    with monkeypatch.context() as m:
+        if where == "before the commit":
+            m.setattr(root, "flush", fail)
+        elif where == "in the log":
+            m.setattr(root.block_log, "log", fail)
+        else:
+            write = manifests.write
+            m.setattr(manifests, "write", lambda files, name, x: fail() if name == "transactions" else write(files, name, x))
+        with pytest.raises(RuntimeError, match="crash"):
+            root.add_transactions(batch, token=("s", 0))
+    assert root.transactions.count == 1 and root.last_logged_block == 9, "the same process keeps nothing of it"
+    for again in (root, LedgerRoot(spark, str(tmp_path), options), LedgerRoot(spark, str(tmp_path), options)):
+        again.add_transactions(batch, token=("s", 0))
+    with LedgerRoot(spark, str(tmp_path), options) as root:
+        assert root.transactions.committed_count == 1501 and root.transactions.manifest.tokens == {"s": 0}
+        assert root.addresses.count == 7 + 5 + 1501
+        assert [tuple(r) for r in root.block_log.table.orderBy("seq").select("seq", "block").collect()] == [(0, 9), *((i + 1, 10 + i) for i in range(15))]
+
+
+def test_runs_are_files(spark, tmp_path):
+    """Flushes of uneven sizes: a run is a file of its own, and merges read what was planned."""
+    spec = StoreSpec("t", required(v0=TRANSACTIONS.fields["v0"].dataType), {"v0": lambda: F.col("v0")})
+    store = LedgerStore(spark, str(tmp_path), spec, StoreOptions(merge_fanout=4, memtable_entries=1024, max_segment_entries=1024))
+    for n in (1100, 100, 1100, 100):
+        store.append_range(spark.range(n).select(F.col("id").alias("seq"), (F.col("id") * 37 % 500).alias("v0")))
+        store.flush()
+    runs = store.manifest.indexes["v0"]
+    assert [s.entries for s in runs] == [1024, 76, 100, 1024, 76, 100] and store.misplaced("v0") == 0
+    for s in runs:
+        read = spark.read.parquet(f"{tmp_path}/{s.path}").agg(F.count("*"), F.min("key"), F.max("key")).first()
+        assert tuple(read) == (s.entries, s.min_key, s.max_key) and len([f for f in store.files.names(s.path) if f.endswith(".parquet")]) == 1
+    assert runs[0].max_key <= runs[1].min_key
+    planned = store.planned_maintenance_entries()
+    assert planned and store.maintain() == planned and store.planned_maintenance_entries() == 0
+    assert [r.ordinal for r in store.find_ordinals("v0", 37).collect()] == [k + base for base, n in ((0, 1100), (1100, 100), (1200, 1100), (2300, 100)) for k in range(n) if k * 37 % 500 == 37]
+    kept = {s.path for s in store.manifest.indexes["v0"]}
+    assert any(p.split("/piece=")[0] in {s.path.split("/piece=")[0] for s in runs} for p in store.vacuum()) and all(store.files.exists(p) for p in kept)
+    shuffled = spark.createDataFrame([(5, 1), (3, 2), (4, 0)], "key long, ordinal long").coalesce(1)
+    shuffled.write.parquet(f"{tmp_path}/t/index-v0/odd/piece=0")
+    store.manifest.indexes["v0"] = [Segment("t/index-v0/odd/piece=0", 0, 3, 3, 3, 5)]
+    assert store.misplaced("v0") == 1
+    with pytest.raises(ManifestError, match="postings"):
+        store._write_runs("v0", spark.range(5).selectExpr("id AS key", "id AS ordinal"), 0, 5, entries=6)
+
+
+def test_fixed_width_faults(spark, tmp_path):
+    table = synthetic.transactions(spark, 300, keys=10).withColumn("ordinal", F.col("seq")).drop("seq")
+    folder = f"file://{tmp_path}/x"
+    assert fixed_width.write_records(table, "transactions", 4096, folder) == 3
+    assert sorted(values(fixed_width.read_records(spark, folder, "transactions", 4096))) == sorted(values(table.select("ordinal", "v0", "v1", "v2", "v3", "v4")))
+    first, middle, last = (tmp_path / "x" / f"data{i:06d}.dat" for i in range(3))
+    last.write_bytes(last.read_bytes() + b"torn")
+    assert fixed_width.read_records(spark, folder, "transactions", 4096).count() == 300
+    whole = middle.read_bytes()
+    for data, message in ((whole[:-8], "short"), (whole + b"x" * 100, "larger")):
+        middle.write_bytes(data)
+        with pytest.raises(fixed_width.RecordFilesError, match=message):
+            fixed_width.read_records(spark, folder, "transactions", 4096)
+    middle.unlink()
+    with pytest.raises(fixed_width.RecordFilesError, match="2 files"):
+        fixed_width.read_records(spark, folder, "transactions", 4096)
+    assert first.exists()
+
+
+def test_three_sessions(spark, tmp_path):
+    """Ingest, reopen and ingest more, merge, reopen and look everything up."""
+    with LedgerRoot(spark, str(tmp_path), SMALL) as root:
+        root.transactions.append_range(synthetic.transactions(spark, 1200, 40, root.transactions.count))
+        root.addresses.append_range(synthetic.addresses(spark, 300, root.addresses.count))
+    with LedgerRoot(spark, str(tmp_path), SMALL) as root:
+        assert root.transactions.count == 1200 and root.addresses.count == 300
+        root.transactions.append_range(synthetic.transactions(spark, 800, 40, root.transactions.count))
+        root.addresses.append_range(synthetic.addresses(spark, 200, root.addresses.count))
+        root.maintain()
+    with LedgerRoot(spark, str(tmp_path), SMALL) as root:
+        rows = values(root.transactions.table.orderBy("ordinal"))
+        assert len(rows) == 2000 and [r[0] for r in rows] == list(range(2000))
+        for key in (0, 39, 12):
+            assert values(root.transactions_by(0, key, by_index=True)) == values(root.transactions_by(0, key)) == [r for r in rows if r[1] == key]
+        for id_ in range(0, 500, 97):
+            text = root.first_address(id_)
+            assert len(text) == 65 and root.first_id(text) == id_
 
 
 def test_block_changes_over_parts(spark):
