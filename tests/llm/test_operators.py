@@ -31,7 +31,7 @@ def test_license_wordings():
         found = licenses.scan_text(f"Some prose before it.\n\n{template}\n\nAnd prose after it.", rank)
         assert [(f[2], f[3], f[7], f[8]) for f in found] == [(name, i, [], True)]
     ((*_, share, changes, confirmed),) = licenses.scan_text("Licensed under the Apache License, Version 3.0.", rank)
-    assert changes == ["2.0 > 3.0"] and not confirmed or share < 1
+    assert changes == ["2.0 > 3.0"] and not confirmed and share < 1
     assert licenses.scan_text("The licensed driver had a permission slip for the public domain museum, which was free.", rank) == []
     long = "word " * 5000 + "Released under the MIT License." + " word" * 5000
     assert [(f[2], f[8]) for f in licenses.scan_text(long, rank)] == [("MIT", True)]
@@ -61,6 +61,51 @@ def test_license_differences_that_tell(text, name):
     assert [f[2] for f in found if f[8]] == [name] * (name is not None) and len(found) == 1
 
 
+def confirmed_names(text, rank):
+    return {f[2] for f in licenses.scan_text(text, rank) if f[8]}
+
+
+def test_license_edits_by_brute_force():
+    """Every template with each of its telling words and numbers changed or taken out, and with a denial put in at every fifth place: never the
+    template's own name."""
+    rank, tried = licenses.Ranker(licenses.TEMPLATES), 0
+    for name, template in licenses.TEMPLATES:
+        found = list(licenses.WORD.finditer(template))
+        for k, m in enumerate(found):
+            w = m[0].lower()
+            tells = licenses.parts([w]) & licenses.TELLING or any(c.isdigit() for c in w)
+            edits = [template[: m.start()] + x + template[m.end() :] for x in (["7.7"] if w[0].isdigit() else ["Zorblax"])] if tells else []
+            if k and k % 5 == 0:
+                edits.append(template[: m.start()] + "not " + template[m.start() :])
+            for text in edits:
+                if any(n == name and t is not template and t.rstrip(".") in text for n, t in licenses.TEMPLATES):
+                    continue  # its short notice is still there, unchanged
+                tried += 1
+                assert name not in confirmed_names(text, rank), text
+    assert tried > 300
+
+
+def test_license_harmless_edits():
+    """Another case, other line ends, marks of a comment, and white space change nothing."""
+    rank = licenses.Ranker(licenses.TEMPLATES)
+    for name, template in licenses.TEMPLATES:
+        for text in (template.upper(), template.replace(" ", "\n"), "// " + template.replace(" ", "\n// "), template.replace(". ", ".\n\n"), template.replace(" ", "  ")):
+            assert confirmed_names(text, rank) == {name}, text
+
+
+def test_license_variants_of_whole_texts():
+    rank = licenses.Ranker(licenses.TEMPLATES)
+    whole = {name: t for name, t in licenses.TEMPLATES if len(t) > 600}
+    assert confirmed_names(whole["MIT"].replace("of the Software. THE", "of the Software. The Software shall be used for Good, not Evil. THE"), rank) == set()
+    assert confirmed_names(whole["BSD-3-Clause"].replace(" Neither", " All advertising materials mentioning features must display an acknowledgement. Neither"), rank) == set()
+    assert confirmed_names(whole["MIT"].split(" THE SOFTWARE IS")[0], rank) == set()
+    long = ("own", "This licence of ours " + " ".join(f"word{i}" for i in range(900)))
+    found = licenses.scan_text(PROSE * 30 + long[1] + ". " + PROSE * 30, licenses.Ranker((*licenses.TEMPLATES, long)))
+    assert [(f[2], f[8]) for f in found] == [("own", True)], "a caller's template may be longer than any other"
+    with pytest.raises(ValueError, match="cue"):
+        licenses.Ranker((("own", "Use this as you like."),))
+
+
 PROSE = "The river had risen since the spring and carried down branches, boats and the remains of a mill that stood above the town. "
 
 
