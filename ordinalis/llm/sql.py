@@ -23,8 +23,9 @@ def quality_rules() -> str:
         counts.append(f"length(x{i}) - length(x{i + 1})")
     last = len(quality.CLASSES)
     counts.append(f"length(x{last})")
-    pooled = list(dict.fromkeys(w for ws in quality.COMMON_WORDS.values() for w in ws[:3]))
-    cases = " ".join(f"WHEN {quoted(k)} THEN {listed(v)}" for k, v in quality.COMMON_WORDS.items())
+    pooled = list(quality.pooled_shares())
+    cases = " ".join(f"WHEN {quoted(k)} THEN {listed(list(v))}" for k, v in quality.COMMON_WORDS.items())
+    prior = ", ".join(f"({quoted(k)}, {[float(x) for x in c]}, {[float(x) for x in w]})" for k, (c, w) in quality.prior().items())
     keys = ", ".join(map(quoted, quality.COMMON_WORDS))
     place = {k: i + 1 for i, k in enumerate(quality.CLASSES)}
     most = max(map(len, [*quality.COMMON_WORDS.values(), pooled])) + 1
@@ -42,20 +43,22 @@ w AS (SELECT doc_id, k, x0, list_filter(regexp_split_to_array(x0, {quoted(space
 j AS (SELECT *, len(ws) AS n, lower(' ' || array_to_string(ws, '  ') || ' ') AS joined, CASE k {cases} ELSE {listed(pooled)} END AS common FROM w),
 c AS (SELECT *, list_transform(common, lambda v: (length(joined) - length(replace(joined, ' ' || v || ' ', ''))) / (length(v) + 2)) AS seen FROM j),
 h AS (SELECT *, list_append(seen, n - list_sum(seen)) AS words FROM c),
-r AS (SELECT k, sum(n) AS total, {sums("classes", len(quality.CLASSES) + 1)} AS rc, {sums("words", most)} AS rw FROM h
+r AS (SELECT k, {sums("classes", len(quality.CLASSES) + 1)} AS rc, {sums("words", most)} AS rw FROM h
   WHERE n >= {quality.MIN_WORDS} AND 100 * classes[{place["lower"]}] >= {quality.MIN_REFERENCE_LOWER} * length(x0) AND 100 * classes[{place["symbol"]}] <= {quality.MAX_REFERENCE_SYMBOLS} * length(x0) GROUP BY k),
-ref AS (SELECT k, total, list_transform(rc, lambda x: x / list_sum(rc)) AS rc, list_transform(rw, lambda x: x / list_sum(rw)) AS rw FROM r),
+pri AS (SELECT k, pc::DOUBLE[] AS pc, pw::DOUBLE[] AS pw FROM (VALUES {prior}) t(k, pc, pw)),
+raw AS (SELECT k, list_transform(range(1, len(pc) + 1), lambda i: pc[i] + coalesce(rc[i], 0)) AS rc, list_transform(range(1, len(pw) + 1), lambda i: pw[i] + coalesce(rw[i], 0)) AS rw FROM pri LEFT JOIN r USING (k)),
+ref AS (SELECT k, list_sum(rc) AS ref_chars, list_transform(rc, lambda x: x / list_sum(rc)) AS rc, list_transform(rw, lambda x: x / list_sum(rw)) AS rw FROM raw),
 g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM (SELECT doc_id, ws, unnest(range(1, greatest(n - 1, 1))) AS i FROM j)),
 again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS m FROM g) WHERE m > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
 l AS (SELECT doc_id, list_filter(string_split(x0, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t0),
 base AS (SELECT h.*, length(x0) AS chars, coalesce(n_repeat, 0) AS n_repeat, len(lines) - len(list_distinct(lines)) AS n_dup FROM h LEFT JOIN rep USING (doc_id) JOIN l USING (doc_id)),
-f AS (SELECT base.*, n < {quality.MIN_WORDS} OR 100 * n_repeat > {quality.MAX_REPEATED} * n AS failed,
-  CASE WHEN total >= {quality.MIN_REFERENCE_WORDS} AND chars >= {quality.MIN_CHARS} THEN {distance("classes", "rc")} ELSE 0.0 END AS cd,
-  CASE WHEN total >= {quality.MIN_REFERENCE_WORDS} AND n >= {quality.MIN_COMPARED_WORDS} THEN {distance("words", "rw")} ELSE 0.0 END AS wd FROM base LEFT JOIN ref USING (k))
+f AS (SELECT base.*, ref_chars, n < {quality.MIN_WORDS} OR 100 * n_repeat > {quality.MAX_REPEATED} * n AS failed,
+  CASE WHEN chars >= {quality.MIN_CHARS} THEN {distance("classes", "rc")} ELSE 0.0 END AS cd,
+  CASE WHEN n >= {quality.MIN_COMPARED_WORDS} THEN {distance("words", "rw")} ELSE 0.0 END AS wd FROM base LEFT JOIN ref USING (k))
 SELECT doc_id, n::BIGINT AS n_words, (chars - classes[{place["space"]}])::BIGINT AS word_chars, classes[{place["symbol"]}]::BIGINT AS n_symbols, n_dup::BIGINT AS n_dup_lines, n_repeat::BIGINT AS n_repeat_words,
   failed AS base_failed, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance,
-  NOT failed AND cd <= {quality.MAX_CLASS_DISTANCE} + {quality.CLASS_NOISE} / sqrt(greatest(chars, 1)) AND wd <= {quality.MAX_WORD_DISTANCE} + {quality.WORD_NOISE} / sqrt(greatest(chars, 1)) AS kept FROM f"""
+  NOT failed AND cd <= {quality.MAX_CLASS_DISTANCE} + {quality.CLASS_NOISE} * sqrt(1.0::DOUBLE / greatest(chars, 1) + 1 / ref_chars) AND wd <= {quality.MAX_WORD_DISTANCE} + {quality.WORD_NOISE} * sqrt(1.0::DOUBLE / greatest(chars, 1) + 1 / ref_chars) AS kept FROM f"""
 
 
 def secret_scans() -> str:

@@ -228,11 +228,45 @@ def test_distance(spark):
 
 
 def test_quality_labels(spark):
+    """By language and by half of the documents; the limits are the same for all."""
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    rows = quality.op4(spark.read.parquet(f"{folder}/documents.parquet")).join(labels, "doc_id").where("not base_failed")
-    share = {r.quality: r.s for r in rows.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("s")).collect()}
-    assert share[1] > 0.99 and share[0] < 0.05
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = quality.op4(docs).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("not base_failed")
+    found = rows.groupBy("quality", "lang", F.pmod("doc_id", F.lit(2)).alias("half")).agg(F.avg(F.col("kept").cast("int")).alias("s"), F.count("*").alias("n")).collect()
+    assert len(found) == 16 and all(r.s > 0.98 if r.quality else r.s < 0.08 for r in found)
+
+
+def running_text(lang, n, seed):
+    """n words with the language's common words at their rates, and others made of letters."""
+    import random
+
+    r, common = random.Random(seed), quality.COMMON_WORDS[lang]
+    pool = [w for w, k in common.items() for _ in range(k)] + [None] * (1000 - sum(common.values()))
+    ws = [r.choice(pool) or "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(4, 10))) for _ in range(n)]
+    return " ".join(f"{w.capitalize()}" if i % 12 == 0 else f"{w}." if i % 12 == 11 else w for i, w in enumerate(ws))
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_every_language_is_judged_at_any_size(spark, copies):
+    """With a handful of documents as with more: prose of a language stays, that of another language under its name and junk go."""
+    other = {"en": "de", "fr": "en", "de": "es", "es": "de"}
+    rows, expected = [], {}
+    for k, lang in enumerate(quality.COMMON_WORDS):
+        for c in range(copies):
+            rows.append((1000 * k + c, running_text(lang, 400, 1000 * k + c), lang))
+            expected[rows[-1][0]] = True
+        rows += [(5000 + k, running_text(other[lang], 400, k), lang), (6000 + k, " ".join(f"{i}#{i * 7}|" for i in range(300)), lang)]
+        expected |= {5000 + k: False, 6000 + k: False}
+    rows += [(7000, " ".join(f"{i}#{i * 7}|" for i in range(300)), None), (7001, " ".join(f"{i}#{i * 7}|" for i in range(300)), "xx")]
+    expected |= {7000: False, 7001: False}
+    found = quality.op4(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.doc_id: r.kept for r in found} == expected and not any(r.base_failed for r in found)
+
+
+def test_references_are_shares():
+    for classes, words in quality.prior().values():
+        assert sum(classes) == pytest.approx(quality.PRIOR_CHARS) and sum(words) == pytest.approx(quality.PRIOR_WORDS) and min(words) > 0
 
 
 # 5
