@@ -1,8 +1,9 @@
-"""Benchmark decontamination by a positional inverted index, read from the rarest test terms.
+"""Benchmark decontamination by a positional inverted index of the test terms, asked from the rarest terms on.
 
-Built-in expressions only. A posting is (term, document, position) with the words around it. Postings are stored for the rarest term of every
-test window, counted over the whole corpus; each is shifted by the term's offset in the window, and the lists of the window's other
-terms are intersected with it inside the stored neighbourhood, which gives exact phrases and, with room for gaps, proximity matches.
+Built-in expressions only. A posting is (term, document, position). The postings of every term that a test window has are stored in one pass over the
+corpus. A window's rarest list, counted over the whole corpus, shifted by the term's offset, gives its candidate places; the second
+rarest list is intersected with them, then, in the documents that are left, the lists of all its other terms: what stays is an exact phrase.
+Proximity matches are looked for around the two rarest terms that the corpus has.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from .shared import ascii_lower, materialize, small
 
 WINDOW = 10
-#: A proximity match has this share, in tenths, of a window's distinct words in a neighbourhood of its rarest one, but not the phrase.
+#: A proximity match has this share, in tenths, of a window's distinct words within nine words of one of its rarest, but not the phrase.
 NEAR_TENTHS = 8
+#: Of a window's words, the rarest ones around which proximity matches are looked for.
+NEAR_ANCHORS = 2
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -30,35 +33,70 @@ def test_windows(items: DataFrame, item: str = "item_id", text: str = "text") ->
     return rows.withColumn("starts", starts).select("item_id", "words", n.alias("n"), F.explode("starts").alias("at")).select("item_id", F.array_join(F.slice("words", F.col("at"), F.col("n")), " ").alias("phrase"), "n").distinct()
 
 
-def occurrences(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Exact and proximity matches of phrases in docs (key, text_hash, text): (key, text_hash, phrase, start, n), (key, text_hash, phrase).
+def same_doc(a: str, b: str) -> Column:
+    return F.col(f"{a}.key").eqNullSafe(F.col(f"{b}.key")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
 
-    The corpus is read twice: to count the test terms, then to store the postings of the rarest. Terms and anchors are sent to all tasks
-    only if their counted rows are few; else words are joined by shuffle. A frequent rarest term has many postings,
-    spread over the tasks that read them.
+
+def positional_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """key, text_hash, n_words, at, term: a row for each place in docs (key, text_hash, text) that has one of the terms, and for each document one
+    row at its first word, if that is none of the terms with a null term. A document without words has null there as well.
+
+    Written in the order of the documents, with no shuffle where the terms are few; else words are joined by shuffle.
     """
-    phrases = materialize(windows.select("phrase", "n").distinct().withColumn("terms", F.split("phrase", " ")), "phrases")
-    terms = materialize(phrases.select(F.explode("terms").alias("term")).distinct(), "terms")
-    tokens = docs.select(F.explode(words(F.col("text"))).alias("term"))
-    counts = materialize(tokens.join(small(terms, terms.count()), "term").groupBy("term").agg(F.count("*").alias("df")), "counts")
-    # a window with a term that no document has can't occur: the join leaves it out of the places below
-    placed = phrases.select("phrase", "n", F.posexplode("terms").alias("offset", "term")).join(counts, "term", "left")
-    rarest = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "offset"))
-    anchors = placed.groupBy("phrase", "n").agg(rarest.alias("r")).where("r.df > 0").select("phrase", "n", F.col("r.term").alias("term"), F.col("r.offset").alias("offset"))
-    anchors = materialize(anchors, "anchors")
+    found = docs.select("key", "text_hash", words(F.col("text")).alias("words")).select("key", "text_hash", F.size("words").cast("long").alias("n_words"), F.posexplode_outer("words").alias("at", "word"))
+    met = found.join(small(terms), F.col("word") == F.col("term"), "left").where(F.col("term").isNotNull() | F.col("at").isNull() | (F.col("at") == 0))
+    return materialize(met.select("key", "text_hash", "n_words", "at", "term"), "index")
+
+
+def ranked(phrases: DataFrame, counts: DataFrame) -> DataFrame:
+    """phrase, n, lists: the window's terms that the corpus has, (df, term, offset) from the rarest on."""
+    placed = phrases.select("phrase", "n", F.posexplode(F.split("phrase", " ")).alias("offset", "term")).join(small(counts), "term")
+    return placed.groupBy("phrase", "n").agg(F.sort_array(F.collect_list(F.struct("df", "term", "offset"))).alias("lists"))
+
+
+def occurrences(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """key, text_hash, phrase, start, n of every exact occurrence. windows: of ranked(), a table; those with a term that has no list can't occur."""
+    whole = windows.where(F.size("lists") == F.col("n"))
+    part = lambda k: F.get("lists", F.lit(k))
+    postings = index.where(F.col("term").isNotNull())
+    first = materialize(whole.select("phrase", "n", part(0)["term"].alias("term"), part(0)["offset"].alias("offset"), F.slice("lists", 2, WINDOW).alias("lists")), "first")
+    start = F.col("at") - F.col("offset")
+    places = postings.join(small(first), "term").select("key", "text_hash", "phrase", "n", start.alias("start"), "lists", "n_words").where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words"))).drop("n_words")
+    places = materialize(places.distinct(), "places")
+    # the second rarest lists, those of the terms that some window has second
+    second = materialize(first.where(F.size("lists") > 0).select(part(0)["term"].alias("term")).distinct(), "second")
+    lists = postings.join(small(second), "term").select("key", "text_hash", "at", "term").distinct()
+    asked = places.where(F.size("lists") > 0).select("key", "text_hash", "phrase", "n", "start", F.slice("lists", 2, WINDOW).alias("rest"), part(0)["term"].alias("term"), (F.col("start") + part(0)["offset"]).alias("at"))
+    same = same_doc("a", "l") & (F.col("a.at") == F.col("l.at")) & (F.col("a.term") == F.col("l.term"))
+    left = materialize(asked.alias("a").join(lists.alias("l"), same, "left_semi").select("key", "text_hash", "phrase", "n", "start", "rest"), "left")
+    # the lists of all other terms, in the documents that are left
+    reached = materialize(left.where(F.size("rest") > 0).select("key", "text_hash").distinct(), "reached")
+    lists = postings.alias("p").join(small(reached).alias("r"), same_doc("p", "r"), "left_semi").select("key", "text_hash", "at", "term").distinct()
+    asked = left.where(F.size("rest") > 0).select("key", "text_hash", "phrase", "n", "start", F.size("rest").alias("m"), F.explode("rest").alias("t")).select("key", "text_hash", "phrase", "n", "start", "m", (F.col("start") + F.col("t.offset")).alias("at"), F.col("t.term").alias("term"))
+    met = asked.alias("a").join(lists.alias("l"), same, "left_semi").groupBy("key", "text_hash", "phrase", "n", "start", "m").agg(F.count("*").alias("agreed")).where("agreed = m")
+    out = ["key", "text_hash", "phrase", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n")]
+    return places.where(F.size("lists") == 0).select(*out).unionByName(left.where(F.size("rest") == 0).select(*out)).unionByName(met.select(*out))
+
+
+def proximity(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """key, text_hash, phrase of windows with most of their distinct words near one of their NEAR_ANCHORS rarest, but not the phrase. windows: of
+    ranked(), a table.
+
+    The rarest terms that the corpus has are looked for, so windows with words that it lacks count as well, and so do passages with one
+    word replaced. Their places are read with the words on either side; a frequent one has many, spread over the tasks that read them.
+    """
+    by_term = windows.select("phrase", "n", F.inline("lists")).groupBy("phrase", "n", "df", "term").agg(F.min("offset").alias("offset"))
+    least = by_term.groupBy("phrase", "n").agg(F.sort_array(F.collect_list(F.struct("df", "term", "offset"))).alias("lists"))
+    anchors = materialize(least.select("phrase", "n", F.inline(F.slice("lists", 1, NEAR_ANCHORS))).select("phrase", "n", "term", "offset"), "anchors")
     rare = materialize(anchors.select("term").distinct(), "rare")
     side = WINDOW - 1
     placed = docs.select("key", "text_hash", words(F.col("text")).alias("words")).select("key", "text_hash", "words", F.posexplode("words").alias("at", "term"))
     first = F.greatest(F.col("at") - side, F.lit(0))
-    postings = placed.join(small(rare, rare.count()), "term").select("term", "key", "text_hash", "at", first.alias("first"), F.slice("words", first + 1, F.lit(2 * side + 1)).alias("around")).distinct()
-    postings = materialize(postings, "postings")
-    start = F.col("at") - F.col("offset")
-    met = postings.join(small(anchors, anchors.count()), "term").withColumn("start", start)
+    near = placed.join(small(rare), "term").select("term", "key", "text_hash", "at", first.alias("first"), F.slice("words", first + 1, F.lit(2 * side + 1)).alias("around"))
+    met = near.join(small(anchors), "term").withColumn("start", F.col("at") - F.col("offset"))
     inside = (F.col("start") >= 0) & (F.array_join(F.slice("around", F.greatest(F.col("start") - F.col("first") + 1, F.lit(1)), F.col("n")), " ") == F.col("phrase"))
-    exact = met.where(inside).select("key", "text_hash", "phrase", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"))
     distinct = F.array_distinct(F.split("phrase", " "))
-    near = met.where(~inside & (10 * F.size(F.array_intersect(distinct, F.col("around"))) >= NEAR_TENTHS * F.size(distinct))).select("key", "text_hash", "phrase")
-    return exact, near
+    return met.where(~inside & (10 * F.size(F.array_intersect(distinct, F.col("around"))) >= NEAR_TENTHS * F.size(distinct))).select("key", "text_hash", "phrase")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
@@ -70,15 +108,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     """
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(f"`{text}`").alias("text_hash"), F.col(f"`{text}`").alias("text"))
     windows = materialize(test_windows(items, item, text), "windows")
-    exact, near = occurrences(rows, windows)
-    exact = materialize(exact, "exact")
+    phrases = materialize(windows.select("phrase", "n").distinct(), "phrases")
+    terms = materialize(phrases.select(F.explode(F.split("phrase", " ")).alias("term")).distinct(), "terms")
+    index = positional_index(rows, terms)
+    counts = materialize(index.where(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("df")), "counts")
+    asked = materialize(ranked(phrases, counts), "asked")
+    exact = materialize(occurrences(index, asked), "exact")
+    near = proximity(rows, asked)
     hits = exact.groupBy("key", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("hits"))
     named = exact.select("key", "text_hash", "phrase").distinct().join(windows.select("phrase", "item_id"), "phrase").where(F.col("item_id").isNotNull())
     named = named.groupBy("key", "text_hash").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     close = near.distinct().groupBy("key", "text_hash").agg(F.count("*").alias("n_near"))
-    same = lambda other: (F.col("d.key").eqNullSafe(F.col(f"{other}.key"))) & (F.col("d.text_hash") == F.col(f"{other}.text_hash"))
-    counted = rows.select("key", "text_hash", F.size(words(F.col("text"))).cast("long").alias("n_words")).alias("d")
-    joined = counted.join(hits.alias("h"), same("h"), "left").join(named.alias("i"), same("i"), "left").join(close.alias("c"), same("c"), "left")
+    counted = index.where(F.col("at").isNull() | (F.col("at") == 0)).select("key", "text_hash", "n_words").alias("d")
+    joined = counted.join(hits.alias("h"), same_doc("d", "h"), "left").join(named.alias("i"), same_doc("d", "i"), "left").join(close.alias("c"), same_doc("d", "c"), "left")
     return joined.select(
         F.col("d.key").alias(key),
         F.col("d.text_hash").alias("text_hash"),

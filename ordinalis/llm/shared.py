@@ -11,8 +11,8 @@ __all__ = ["ascii_lower", "bounded_batches", "fresh_path", "materialize", "packe
 
 #: Bytes of one Arrow batch between the JVM and a Python worker.
 BATCH_BYTES = 16 << 20
-#: Rows a table may have, by count, to be sent to every executor.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table, by its rows and the lengths of its texts, up to which it is sent to every executor.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -21,9 +21,12 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if rows, its counted size, is under the bound; else df, for a shuffle join."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame) -> DataFrame:
+    """df, a table, with a broadcast hint if its measured size is under the bound; else df, for a shuffle join. One pass over it measures."""
+    texts = [F.octet_length(f"`{n}`") for n, kind in df.dtypes if kind in ("string", "binary")]
+    texts += [F.aggregate(F.transform(f"`{n}`", F.octet_length), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) for n, kind in df.dtypes if kind == "array<string>"]
+    size = df.agg(F.sum(sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(ROW_BYTES)).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def ascii_lower(text: Column) -> Column:

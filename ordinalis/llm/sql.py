@@ -100,7 +100,7 @@ named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY i
 posts AS (SELECT doc_id, w, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM d),
 df AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
 places AS (SELECT phrase, n, unnest(string_split(phrase, ' ')) AS term, unnest(range(0, n)) AS o FROM phrases),
-anchors AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY phrase, n ORDER BY coalesce(df, 0), term, o) AS place FROM places LEFT JOIN df USING (term)) WHERE place = 1 AND df > 0),
+anchors AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY phrase, n ORDER BY df, term) AS place FROM (SELECT phrase, n, term, df, min(o) AS o FROM places JOIN df USING (term) GROUP BY ALL)) WHERE place <= {decontamination.NEAR_ANCHORS}),
 met AS (SELECT doc_id, phrase, a.n, pos - o AS s, greatest(pos - {side}, 0) AS first, w[greatest(pos - {side}, 0) + 1:greatest(pos - {side}, 0) + {2 * side + 1}] AS around, list_distinct(string_split(phrase, ' ')) AS terms FROM posts JOIN anchors a USING (term)),
 near AS (SELECT doc_id, count(DISTINCT phrase) AS n_near FROM met WHERE NOT (s >= 0 AND array_to_string(around[greatest(s - first + 1, 1):greatest(s - first + 1, 1) + n - 1], ' ') = phrase)
   AND 10 * len(list_intersect(terms, around)) >= {decontamination.NEAR_TENTHS} * len(terms) GROUP BY doc_id)

@@ -465,7 +465,7 @@ def contaminated_by_hand(docs, items):
 @pytest.mark.parametrize("few", [True, False])
 def test_decontamination(spark, monkeypatch, few):
     if not few:
-        monkeypatch.setattr(decontamination, "small", lambda df, rows: df)
+        monkeypatch.setattr(decontamination, "small", lambda df: df)
     long = words(ROWS[3][1])
     items = [(1, " ".join(long[5:40])), (2, " ".join(long[20:50]).upper()), (10, "the of"), (11, ""), (12, None), (None, "and, to; the"), (13, "nowhere at all found"), (13, "the of")]
     docs = [(r[0], r[1]) for r in ROWS] + [(800, "THE--OF the of"), (801, "the"), (802, " ".join(long[4:13])), (803, " ".join([*long[5:12], "x", *long[12:15]]))]
@@ -474,6 +474,34 @@ def test_decontamination(spark, monkeypatch, few):
     assert found.where("doc_id = 803").first().n_near > 0
 
 
+def test_proximity_without_a_word_of_the_corpus(spark):
+    """One word of a window replaced by one that the corpus lacks, on the test's side: no exact match, but a near one."""
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text), (2, text.replace("w12", "else")), (3, " ".join(f"v{i}" for i in range(30)))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(f"w{i}" if i != 9 else "nowhere" for i in range(5, 15)))], "item_id long, text string")
+    found = {r.doc_id: (r.n_hit, r.n_near) for r in decontamination.op9(docs, items).collect()}
+    assert found == {1: (0, 1), 2: (0, 1), 3: (0, 0)}
+
+
+def test_lists_are_intersected_at_their_places(spark):
+    """Places of words in other orders, beyond a text's end, and windows that repeat a word."""
+    import itertools
+
+    docs = [(i, " ".join(p)) for i, p in enumerate(itertools.product("abc", repeat=5))]
+    items = [(1, "a b"), (2, "a a b"), (3, "c"), (4, "b a b a"), (5, "a b c a b c"), (6, "c c c c c")]
+    found = decontamination.op9(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert rows_of(found.drop("n_near")) == contaminated_by_hand(docs, items)
+    assert found.where("n_hit > 0").count() > 100
+
+
+def test_decontamination_without_items(spark):
+    found = decontamination.op9(frame(spark, ROWS, clash=True), spark.createDataFrame([], "item_id long, text string"))
+    assert found.count() == len(ROWS) and found.where("n_hit > 0 or n_near > 0").count() == 0
+    items = spark.createDataFrame([(1, "the of", "x", 3, 4)], "item_id long, text string, key string, n int, phrase int")
+    assert found.columns == decontamination.op9(frame(spark, ROWS), items).columns
+    assert rows_of(decontamination.op9(frame(spark, ROWS), items)) == rows_of(decontamination.op9(frame(spark, ROWS), items.select("item_id", "text")))
+
+
 # 10
 
 
