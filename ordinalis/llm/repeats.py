@@ -26,8 +26,8 @@ from .shared import bounded_batches, materialize
 WINDOW, GRAM = 200, 32
 #: Bytes whose grams are found at once; places in them take 20 bits of a packed key.
 PIECE, PLACE_BITS = 1 << 18, 20
-#: Different cells of one gram whose windows one task holds; those of larger groups are dealt out one by one.
-GROUP_CELLS = 1 << 16
+#: Different cells of one gram whose windows one task holds, of at most 169 windows of eight bytes each; those of larger groups are dealt out one by one.
+GROUP_CELLS = 1 << 13
 #: Cells whose windows are hashed at once.
 CELLS_AT_ONCE = 1 << 12
 
@@ -133,10 +133,11 @@ def cell_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "gram long, n long, key long, text_hash long, first long, data binary")
 
 
-def window_hashes(gram: int, data: bytes) -> list[int]:
+def window_hashes(gram: int, data: bytes) -> np.ndarray:
     import xxhash
 
-    return [xxhash.xxh3_64_intdigest(data[i : i + WINDOW], seed=gram) for i in range(len(data) - WINDOW + 1)]
+    n = len(data) - WINDOW + 1
+    return np.fromiter((xxhash.xxh3_64_intdigest(data[i : i + WINDOW], seed=gram) for i in range(n)), np.uint64, n)
 
 
 def spans_of(rows: list[tuple], repeated: np.ndarray, sizes: list[int]) -> list[tuple]:
@@ -156,14 +157,14 @@ SPANS = pa.schema([("key", pa.int64()), ("text_hash", pa.int64()), ("start", pa.
 def order_windows(texts: DataFrame) -> DataFrame:
     """Spans of repeated windows of cells that occur once; texts are partitioned by gram and sorted, so that a group is read in one run.
 
-    A task holds the groups of CELLS_AT_ONCE cells or one group, of GROUP_CELLS cells at most.
+    A task holds the groups of CELLS_AT_ONCE cells or one group, of GROUP_CELLS cells at most: some 20 MB.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: list[tuple]) -> pa.RecordBatch:
             lists = [window_hashes(r[0] & 0xFFFFFFFFFFFFFFFF, r[5]) for r in rows]
             sizes = [len(x) for x in lists]
-            hashes = np.fromiter((h for x in lists for h in x), np.uint64, sum(sizes))
+            hashes = np.concatenate(lists)
             # a window twice in one cell is two windows as well
             weight = np.repeat(np.array([min(r[1], 2) for r in rows], np.int64), sizes)
             _, place = np.unique(hashes, return_inverse=True)
@@ -190,7 +191,7 @@ def deal_windows(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for gram, n, key, text_hash, first, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hashes = np.array(window_hashes(gram & 0xFFFFFFFFFFFFFFFF, data), np.uint64).view(np.int64)
+                hashes = window_hashes(gram & 0xFFFFFFFFFFFFFFFF, data).view(np.int64)
                 same = lambda x, m=len(hashes): pa.array([x] * m, pa.int64())
                 yield pa.RecordBatch.from_arrays([same(gram), pa.array(hashes), same(min(n, 2)), same(key), same(text_hash), pa.array(first + np.arange(len(hashes)))], names=["gram", "window", "n", "key", "text_hash", "start"])
 
