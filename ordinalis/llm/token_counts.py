@@ -88,5 +88,13 @@ def truncated_totals(report: DataFrame, limits: list[int]) -> DataFrame:
     return found.select(F.inline(F.array(*answers)))
 
 
+def length_quantiles(report: DataFrame, levels: list[float]) -> DataFrame:
+    """level, n_tokens for any levels from 0 to 1, in one pass: the least length that at least this share of the documents doesn't exceed. Null if
+    there are no documents."""
+    docs = F.col("total_docs") - F.col("docs_longer")
+    found = report.agg(*[F.min(F.when(docs >= F.greatest(F.ceil(F.lit(x) * F.col("total_docs")), F.lit(1)), F.col("n_tokens"))).alias(f"q{i}") for i, x in enumerate(levels)])
+    return found.select(F.inline(F.array(*[F.struct(F.lit(float(x)).alias("level"), F.col(f"q{i}").alias("n_tokens")) for i, x in enumerate(levels)])))
+
+
 def op3(df: DataFrame, tokenizer_path: str) -> DataFrame:
     return length_report(materialize(length_histogram(df, tokenizer_path), "lengths"))
