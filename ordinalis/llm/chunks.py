@@ -120,10 +120,17 @@ def piece_model(path: str):
     return _models[path]
 
 
+#: What a model may change before it cuts: compatibility forms, several spaces, spaces at the ends, controls, tabs and line feeds.
+PROBES = ["", " ", "a", "a b", "  a   b  ", "a\tb\nc", "\ufb01 \u2460 \uff21\u3000x", "e\u0301 \u00e9", "\u2581a \u2581\u2581", "A\u00a0b\u00adc", "\x00\x1f", "\u0130 \u00df"]
+
+
 def crosses_marker(path: str) -> bool:
-    """Whether a piece of the model has a marker after another character, so that words can't be cut apart."""
+    """Whether words can't be cut apart: a piece of the model has a marker after another character, or the model changes texts before it cuts
+    them or puts no marker before them, as PROBES show."""
     model = piece_model(path)
-    return any(MARKER in model.id_to_piece(i).lstrip(MARKER) for i in range(model.get_piece_size()))
+    if any(MARKER in model.id_to_piece(i).lstrip(MARKER) for i in range(model.get_piece_size())):
+        return True
+    return pieces(path)(PROBES) != [np.asarray(x, "<u4").tobytes() for x in model.encode(PROBES, num_threads=1)]
 
 
 def pieces(path: str) -> ChunkTable:
