@@ -173,25 +173,24 @@ def verdict(rows: DataFrame, refs: DataFrame) -> DataFrame:
 def quality(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance and kept.
 
-    References are those of the languages, COMMON_WORDS and CLASS_SHARES, as PRIOR_WORDS words of text, to which a pass that reads the histograms alone
-    adds the table's own prose; so a small table's references are the languages', and a large one's mostly its own, with no switch between. Texts
+    References are those of the languages, COMMON_WORDS and CLASS_SHARES, as PRIOR_WORDS words of text, to which
+    the table's own prose is added; so a small table's references are the languages', and a large one's mostly its own, with no switch between. Texts
     aren't shuffled. Ties and repeated rows are judged alike, each by itself. Other columns stay, but those of the new names are
     replaced. An empty table gives an empty result.
     """
-    refs = materialize(references(histograms(df.select(text, lang), text, lang)), "references")
     new = [*BASE, "class_distance", "word_distance", "kept"]
-    judged = verdict(features(packed(df, text=F.col(f"`{text}`"), lang=F.col(f"`{lang}`"))), refs)
-    return judged.select(*unpacked([c for c in df.columns if c not in new]), *new)
+    return judged(df, text, lang).select(*unpacked([c for c in df.columns if c not in new]), *new)
 
 
-def passing(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of df that quality() keeps, with the columns of df.
+def judged(df: DataFrame, text: str, lang: str) -> DataFrame:
+    """The rows of df, packed, with their histograms written along, so that texts are looked through once; then the references, and the verdicts."""
+    rows = materialize(features(packed(df, text=F.col(f"`{text}`"), lang=F.col(f"`{lang}`"))).drop("text", "lang"), "features")
+    return verdict(rows, materialize(references(rows), "references"))
 
-    The row number is a barrier: without it the optimizer would push the test below the steps it is made of, and write each of them out
-    where it is used, again and again.
-    """
-    judged = quality(packed(df, text=F.col(f"`{text}`"), lang=F.col(f"`{lang}`"))).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*unpacked(df.columns))
+
+def passing(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of df that quality() keeps, with the columns of df."""
+    return judged(df, text, lang).where("kept").select(*unpacked(df.columns))
 
 
 def quality_of(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
