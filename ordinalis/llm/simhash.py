@@ -13,11 +13,11 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bounded_batches, materialize, packed, unpacked
+from .shared import bounded_batches, materialize, packed, small, unpacked
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -101,7 +101,7 @@ def forest(values: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]
 
 
 def link_groups(df: DataFrame, group: list[str], distance: int = DISTANCE) -> DataFrame:
-    """a, b: forest links inside each group of `group` columns. df must be partitioned by them and sorted within partitions."""
+    """a, b: forest links inside each group of `group` columns. df must be partitioned by them, by an explicit repartition(), and sorted within partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: tuple[np.ndarray, ...] | None = None
@@ -143,11 +143,13 @@ def similar_links(distinct: DataFrame) -> DataFrame:
     """a > b: links between distinct fingerprints (column fp) whose components are those of all pairs within the distance."""
     first, second = key_masks()
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(first)])
-    keyed = distinct.select("fp", F.inline(keys)).withColumn("n", F.count("*").over(Window.partitionBy("t", "key"))).where("n > 1")
-    near = link_groups(keyed.where(F.col("n") <= GROUP).sortWithinPartitions("t", "key"), ["t", "key"])
-    again = F.element_at(F.array(*[F.array(*[F.lit(signed(m)) for m in ms]) for ms in second]), F.col("t") + 1)
-    dealt = keyed.where(F.col("n") > GROUP).select("t", "fp", F.posexplode(again).alias("s", "mask")).select((F.col("t") * 20 + F.col("s")).alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = distinct.select("fp", F.inline(keys))
+    # keys are counted, with partial sums, before any fingerprints meet in a task: those of over GROUP, one in GROUP rows at most, are dealt out again
+    large = materialize(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("t", "key"), "large")
+    near = link_groups(keyed.join(small(large), ["t", "key"], "left_anti").repartition(parts, "t", "key").sortWithinPartitions("t", "key"), ["t", "key"])
+    again = F.element_at(F.array(*[F.array(*[F.lit(signed(m)) for m in ms]) for ms in second]), F.col("t") + 1)
+    dealt = keyed.join(small(large), ["t", "key"], "left_semi").select("t", "fp", F.posexplode(again).alias("s", "mask")).select((F.col("t") * 20 + F.col("s")).alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     far = link_groups(dealt.repartition(parts, "t", "key").sortWithinPartitions("t", "key"), ["t", "key"])
     return near.unionByName(far).distinct()
 
