@@ -19,14 +19,15 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20, ()),
     ("hex", r"[0-9a-f]{24,}", 0, 24, ()),
 )
-#: Token forms with a published prefix, and mixed strings that hold a digit, a capital and a small letter each.
+#: Token forms with a published prefix, mixed strings that hold a digit, a capital and a small letter each, and hexadecimal in capitals.
 ADDED = (
     ("token", r"gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 14, ()),
     ("mixed", r"[A-Za-z0-9+/]{24,}", 0, 24, ("[0-9]", "[A-Z]", "[a-z]")),
+    ("capital", r"[0-9A-F]{24,}", 0, 24, ("[0-9]", "[A-F]")),
 )
 KINDS = tuple(k[0] for k in BASE + ADDED)
-#: A value with more owners than this is a copied example; one with this many or fewer looks live.
-MAX_LIVE_OWNERS = 2
+#: A value that more owners or more repositories have is a copied example; one with as many or fewer of both looks live.
+MAX_LIVE_OWNERS, MAX_LIVE_REPOSITORIES = 2, 4
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,value:string>>"
 RUN = 256
 
@@ -59,10 +60,10 @@ def with_spans(df: DataFrame, text: str, out: str, rank: int, kind: tuple[str, s
     return df.withColumn(out, F.coalesce(kept.cast(SPAN), empty)).drop("_hits", "_values", "_gaps", "_steps", "_before")
 
 
-def scan(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with _spans: all spans of all kinds by start and kind. Null texts have none."""
-    names = [f"_spans{i}" for i in range(len(KINDS))]
-    for rank, (name, kind) in enumerate(zip(names, BASE + ADDED, strict=True)):
+def scan(df: DataFrame, text: str = "text", first: int = 0) -> DataFrame:
+    """df with _spans: all spans of the kinds from the first on, by start and kind. Null texts have none."""
+    names = [f"_spans{i}" for i in range(first, len(KINDS))]
+    for rank, (name, kind) in enumerate(zip(names, (BASE + ADDED)[first:], strict=True), first):
         df = with_spans(df, text, name, rank, kind)
     return df.withColumn("_spans", F.sort_array(F.concat(*names))).drop(*names)
 
@@ -77,10 +78,15 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return triples.groupBy("value_hash", "owner").agg(F.count("*").alias("n")).groupBy("value_hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
-def secret_spans(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "lang") -> DataFrame:
+def live(n_owners: Column, n_repositories: Column) -> Column:
+    return (n_owners <= MAX_LIVE_OWNERS) & (n_repositories <= MAX_LIVE_REPOSITORIES)
+
+
+def secret_spans(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "lang", corpus: DataFrame | None = None) -> DataFrame:
     """key, text_hash, spans: array of (start, rank, end, n_owners, n_repositories), one row per row of df.
 
-    Spans are those of the base kinds, and of the added kinds if few owners hold their value; rank is the place in KINDS. Rows are told
+    Spans are those of the base kinds, and of the added kinds if few owners and repositories hold their value; rank is the place in KINDS. corpus:
+    rows with the same columns of which the added kinds' values are counted as well, where df is only what a filter left. Rows are told
     apart by key and text: repeated rows have the same spans, and count once. Rows without spans have an empty array. Null keys,
     texts, owners and repositories are values like others, a null text holding nothing. Columns beyond the four are not read.
     """
@@ -88,9 +94,13 @@ def secret_spans(df: DataFrame, key: str = "doc_id", text: str = "text", owner:
     found = scan(source.withColumn("text_hash", F.xxhash64("text")), "text").select("key", "text_hash", "owner", "repository", F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("value_hash"))).alias("found"))
     found = materialize(found, "spans")
     each = found.where(F.size("found") > 0).select("key", "text_hash", "owner", "repository", F.inline("found"))
-    owners = ownership(each.select("value_hash", "owner", "repository"))
+    candidates = each.select("value_hash", "owner", "repository")
+    if corpus is not None:
+        held = corpus.select(F.col(f"`{text}`").alias("text"), F.col(f"`{owner}`").alias("owner"), F.col(f"`{repository}`").alias("repository"))
+        candidates = candidates.unionByName(scan(held, "text", len(BASE)).select(F.explode("_spans").alias("s"), "owner", "repository").select(F.sha2("s.value", 256).alias("value_hash"), "owner", "repository"))
+    owners = ownership(candidates)
     spans = each.select("key", "text_hash", "value_hash", "start", "rank", "end").distinct().join(owners, "value_hash")
-    held = spans.where((F.col("rank") < len(BASE)) | (F.col("n_owners") <= MAX_LIVE_OWNERS))
+    held = spans.where((F.col("rank") < len(BASE)) | live(F.col("n_owners"), F.col("n_repositories")))
     by_row = held.groupBy(F.col("key").alias("k"), F.col("text_hash").alias("h")).agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "n_owners", "n_repositories"))).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,n_owners:bigint,n_repositories:bigint>>")
     return found.join(by_row, found.key.eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")), "left").select(F.col("key").alias(key), "text_hash", F.coalesce("spans", none).alias("spans"))
@@ -133,6 +143,8 @@ def op8(df: DataFrame) -> DataFrame:
         *[count(of_kind(i)).alias(f"n_{KINDS[i]}") for i in range(len(BASE))],
         F.sha2(spelled(base), 256).alias("base_sha256"),
         spelled(F.col("spans")).alias("spans"),
-        count(lambda s: s["n_owners"] <= MAX_LIVE_OWNERS).alias("n_live"),
-        count(lambda s: s["n_owners"] > MAX_LIVE_OWNERS).alias("n_example"),
+        count(lambda s: live(s["n_owners"], s["n_repositories"])).alias("n_live"),
+        count(lambda s: ~live(s["n_owners"], s["n_repositories"])).alias("n_example"),
+        F.coalesce(F.array_max("spans.n_owners"), F.lit(0)).alias("most_owners"),
+        F.coalesce(F.array_max("spans.n_repositories"), F.lit(0)).alias("most_repositories"),
     )

@@ -74,16 +74,16 @@ def secret_scans() -> str:
     SELECT doc_id, source, lang, regexp_extract_all(text, {p}, 0) AS hits, regexp_extract_all(text, {p}, {group}) AS vals, regexp_split_to_array(text, {p}) AS gaps FROM documents WHERE regexp_matches(text, {p}))))
 WHERE length(val) >= {least}{tests}"""
         )
-    n_base, live = len(secrets.BASE), secrets.MAX_LIVE_OWNERS
+    n_base, live = len(secrets.BASE), f"(n_owners <= {secrets.MAX_LIVE_OWNERS} AND n_repositories <= {secrets.MAX_LIVE_REPOSITORIES})"
     spelled = f"{listed(list(secrets.KINDS))}[kind + 1] || ':' || a || ':' || b"
     counts = ", ".join(f"count(*) FILTER (kind = {i}) AS n_{secrets.KINDS[i]}" for i in range(n_base))
     return f"""WITH found AS ({" UNION ALL ".join(found)}),
-owners AS (SELECT val, count(DISTINCT source) AS n_owners FROM found GROUP BY val),
-held AS (SELECT * FROM found JOIN owners USING (val) WHERE kind < {n_base} OR n_owners <= {live}),
+owners AS (SELECT val, count(*) AS n_owners, sum(n)::BIGINT AS n_repositories FROM (SELECT val, source, count(*) AS n FROM (SELECT DISTINCT val, source, lang FROM found) GROUP BY val, source) GROUP BY val),
+held AS (SELECT * FROM found JOIN owners USING (val) WHERE kind < {n_base} OR {live}),
 per AS (SELECT doc_id, {counts}, string_agg({spelled}, ',' ORDER BY a, kind) FILTER (kind < {n_base}) AS base, string_agg({spelled}, ',' ORDER BY a, kind) AS spans,
-  count(*) FILTER (n_owners <= {live}) AS n_live, count(*) FILTER (n_owners > {live}) AS n_example FROM held GROUP BY doc_id)
+  count(*) FILTER ({live}) AS n_live, count(*) FILTER (NOT {live}) AS n_example, max(n_owners) AS most_owners, max(n_repositories) AS most_repositories FROM held GROUP BY doc_id)
 SELECT doc_id, {", ".join(f"coalesce(n_{secrets.KINDS[i]}, 0) AS n_{secrets.KINDS[i]}" for i in range(n_base))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM documents LEFT JOIN per USING (doc_id)"""
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories FROM documents LEFT JOIN per USING (doc_id)"""
 
 
 def decontaminated() -> str:

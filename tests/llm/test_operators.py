@@ -178,6 +178,9 @@ def test_length_report(spark):
         assert r.docs_at_least == sum(x >= r.n_tokens for x in lengths) and r.tokens_at_least == sum(x for x in lengths if x >= r.n_tokens)
         assert r.truncated_total == sum(min(x, r.n_tokens) for x in lengths) and r.lost_tokens == sum(lengths) - r.truncated_total
         assert r.quantile == pytest.approx(sum(x <= r.n_tokens for x in lengths) / len(lengths)) and r.total_tokens == sum(lengths)
+    levels = [0, 0.01, 1 / 7, 0.15, 0.5, 0.9, 0.95, 1]
+    exact = [(q, sorted(lengths)[max(math.ceil(q * len(lengths)), 1) - 1]) for q in levels]
+    assert [tuple(r) for r in token_counts.length_quantiles(report, levels).collect()] == exact
     limits = [0, 1, 3, 512, 700, 4999, 100_000]
     assert rows_of(token_counts.truncated_totals(report, limits)) == sorted(((x, sum(min(y, x) for y in lengths)) for x in limits), key=repr)
 
@@ -196,6 +199,22 @@ def test_chunks_encode_like_the_libraries():
         assert np.frombuffer(b, "<u4").tolist() == piece.encode(text), ascii(text)
 
 
+def test_words_are_cut_apart_only_where_the_model_allows_it(monkeypatch):
+    """A model that changes its texts, as this one would with spaces doubled, is taken text by text."""
+    assert not chunks.crosses_marker(PIECE)
+    real = chunks.piece_model(PIECE)
+
+    class Other:
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def encode(self, texts, **options):
+            return real.encode([x.upper() for x in texts], **options)
+
+    monkeypatch.setattr(chunks, "piece_model", lambda path: Other())
+    assert chunks.crosses_marker(PIECE)
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
@@ -413,9 +432,36 @@ SECRETS = [
     (1004, "password=1 " * 700 + "password=123456", "en", "s2", 0),
     *((1010 + i, "see Zm9vYmFyQmF6MTIzNDU2Nzg5MDEyMzQ1 here", "en", f"s{i}", 0) for i in range(5)),
     (1030, "only here QmF6MTIzNDU2Nzg5MDEyMzQ1Zm9v", "en", "s9", 0),
+    (1031, 'digest "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"', "en", "s9", 0),
+    *((1040 + i, "mirrored Y29weSBvZiBtYW55IHJlcG9zIDEy too", f"l{i}", "s8", 0) for i in range(6)),
+    *((1050 + i, "moved Y29weSBvZiBvbmUgb3duZXIgMTIz too", f"l{i % 3}", f"s{i % 2}", 0) for i in range(9)),
 ]
 
 
+def test_ownership_tells_copies_from_live_values(spark):
+    """Against plain SQL on a table where the method changes rows: values of many owners, or of many repositories of one, are examples."""
+    import duckdb
+
+    rows = SECRETS + [r for r in ROWS if r[3] is not None][:20]
+    df = frame(spark, rows)
+    found = secrets.op8(df).toPandas()
+    documents = df.toPandas()  # noqa: F841  duckdb reads it by its name
+    expected = duckdb.connect().execute(entry.oracle_sql()["op8_secret_scans"]).df()
+    key = lambda x: sorted(map(tuple, x[sorted(x.columns)].astype(str).itertuples(index=False)))
+    assert key(found) == key(expected)
+    by_id = found.set_index("doc_id")
+    assert by_id.spans[1031].startswith("capital:") and by_id.spans[1040] == "" and by_id.most_repositories[1004] > 0
+    assert by_id.spans[1050] == "" and (by_id.n_live > 0).sum() > 5, "six repositories in all"
+    assert {"mixed", "capital"} <= {s.split(":")[0] for x in found.spans for s in x.split(",")}
+
+
+def test_owners_of_a_larger_corpus(spark):
+    """What a filter has left of a widely copied value is still an example if the corpus before it is counted."""
+    left, whole = frame(spark, SECRETS[4:6]), frame(spark, SECRETS)
+    assert [len(r.spans) for r in secrets.secret_spans(left).collect()] == [1, 1]
+    assert [len(r.spans) for r in secrets.secret_spans(left, corpus=whole).collect()] == [0, 0]
+
+
 def test_secret_spans(spark):
     rows = ROWS + SECRETS
     found = secrets.op8(frame(spark, rows)).collect()
