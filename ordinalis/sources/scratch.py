@@ -28,13 +28,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes the intermediate tables of this process and returns how many; results that were not written elsewhere are lost with them."""
-    n = len(_made)
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+def made() -> int:
+    """How many intermediate tables of this process are there, for release()."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, but: int = 0) -> int:
+    """Deletes the intermediate tables of this process, those made since and but for the last ones, and returns how many; results that were not
+    written elsewhere are lost with them."""
+    gone = _made[since : len(_made) - but]
+    del _made[since : len(_made) - but]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return len(gone)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
