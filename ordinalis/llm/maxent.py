@@ -1,11 +1,13 @@
 """Language-model scores: exact unigram counts, and a hashed maximum-entropy model with a class-factored softmax.
 
-The model gives P(class | history) * P(word | class, history). Both factors are softmaxes over a bias, which starts at the corpus shares, plus
-weight rows of four hashed history features: the last word, the last two words, and the words two and three back (skips). Frequent
-words have a slot in a class of neighbours by frequency; the other words of the head fall into tail classes of equal mass by frequency, and all
-others share class 0; inside these they have their smoothed unigram share. Weight rows and tail classes grow with the training tokens. So the probabilities of all words, unseen ones included, add up to one. Weights are learned in rounds: each task sums the
-gradient of its texts, sums are added by block of rows in two levels, and the driver, which holds only the weights, takes a step.
-Each round reads another part of the training texts; together they read all.
+The model gives P(class | history) * P(word | class). A frequent word is a class of its own; the other words of the head share classes of
+CLASS_SHARE of the corpus, by falling frequency, and all others share class 0; inside these a word has its smoothed unigram share. P(class | history) is
+factored once more: classes are halved by mass again and again, and each halving is a softmax of two over a bias, which starts at the
+corpus shares, plus one weight for each of four hashed history features: the last word, the last two words, and the words two and three back (skips).
+A weight's place is a hash of the feature and the halving, so a token touches some nine halvings of four weights each, of millions: batches are
+sparse lists of (token, weight). The probabilities of all words, unseen ones included, add up to one. Weights grow in number with the training tokens.
+They are learned in rounds: each task sums the gradient of its texts, sums are added by block of weights, and the driver, which holds only the
+weights, takes a step. Each round reads another part of the training texts; together they read all.
 """
 
 from __future__ import annotations
@@ -27,13 +29,14 @@ END = "\n"
 ALPHA = 0.1
 #: Words whose counts every task has; the counts of others are joined.
 HEAD = 150_000
-CLASSES, SLOTS, ROWS, BLOCKS = 16, 16, 1 << 14, 64
-#: ROWS rows and TAILS tail classes do for BASE_TOKENS training tokens; rows double, and MORE_TAILS classes are added, with every eightfold of them.
-BASE_TOKENS, TAILS, MORE_TAILS = 1 << 22, 8, 4
-FEATURES, ROUNDS, STEP, RIDGE = 4, 4, 0.25, 8.0
+#: Share of the training tokens that makes a class: words with more are classes by themselves.
+CLASS_SHARE = 1 / 1024
+#: WEIGHTS do for BASE_TOKENS training tokens; they double with every eightfold of them. Blocks of them are added up together.
+WEIGHTS, BASE_TOKENS, BLOCKS = 1 << 21, 1 << 22, 64
+FEATURES, ROUNDS, STEP, RIDGE = 4, 4, 0.35, 4.0
 #: Distinct words of a task that are counted before they are handed on, and tokens that are scored at once.
 COUNTED, TOKENS = 300_000, 1 << 16
-#: Tokens whose rows of logits are held at once, small enough for a core's cache.
+#: Tokens whose halvings are held at once, small enough for a core's cache.
 AT_ONCE = 1 << 13
 #: Entries of a worker's word table.
 TABLE_ENTRIES = 400_000
@@ -73,45 +76,57 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def halved(mass: np.ndarray) -> tuple[list[list[tuple[int, int]]], list[float]]:
+    """Of each class its path, (halving, side) from the top, and of each halving the log of its sides' masses' ratio. Classes stay in order."""
+    upto, paths, bias = np.concatenate([[0.0], np.cumsum(mass)]), [[] for _ in mass], []
+    open_: list[tuple[int, int, list[tuple[int, int]]]] = [(0, len(mass), [])]
+    while open_:
+        a, b, path = open_.pop()
+        if b - a == 1:
+            paths[a] = path
+            continue
+        middle = (upto[a] + upto[b]) / 2
+        cut = min(max(int(np.searchsorted(upto, middle)), a + 1), b - 1)
+        if cut - 1 > a and middle - upto[cut - 1] < upto[cut] - middle:
+            cut -= 1
+        bias.append(math.log((upto[b] - upto[cut]) / (upto[cut] - upto[a])))
+        open_ += [(a, cut, [*path, (len(bias) - 1, 0)]), (cut, b, [*path, (len(bias) - 1, 1)])]
+    return paths, bias
+
+
 @dataclass
 class Model:
-    """head: words by falling count, with counts. total and distinct: of training tokens. Class weights and word weights by feature row."""
+    """head: words by falling count, with counts. total and distinct: of training tokens."""
 
     head: list[tuple[str, int]]
     total: int
     distinct: int
-    class_weights: np.ndarray = field(init=False)
-    word_weights: np.ndarray = field(init=False)
+    weights: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        growth = max(0, round(math.log2(max(1, self.total) / BASE_TOKENS) / 3))
-        self.rows = ROWS << growth
-        slots = self.head[: (CLASSES - 1) * SLOTS]
-        self.n_slots = len(slots)
-        counts = np.zeros((CLASSES, SLOTS))
-        for r, (_, n) in enumerate(slots):
-            counts[1 + r // SLOTS, r % SLOTS] = n
-        tail = np.array([n for _, n in self.head[self.n_slots :]], float) + ALPHA
-        tails = TAILS + MORE_TAILS * growth if len(tail) else 0
-        self.n_classes = CLASSES + tails
-        bins = np.minimum((np.cumsum(tail) - tail) / max(tail.sum(), ALPHA) * tails, max(tails - 1, 0)).astype(np.int64)
-        ranks = np.arange(self.n_slots)
-        #: Class and slot of each rank; rank 0 is that of words outside the head.
-        self.class_of = np.concatenate([[0], 1 + ranks // SLOTS, CLASSES + bins]).astype(np.int64)
-        self.slot_of = np.concatenate([[0], ranks % SLOTS, np.zeros(len(tail))]).astype(np.int64)
-        rest = self.total - counts.sum() - (tail.sum() - ALPHA * len(tail))
-        sums = np.concatenate([counts.sum(1), np.bincount(bins, tail, tails)])
-        sums[0] = max(rest, 0) + ALPHA * (self.distinct - len(self.head) + 1)
-        used = sums > 0
-        #: Of classes without slots: log10 of the mass that the counts inside are divided by.
-        self.within_log = np.log10(np.where(used, sums, 1))
-        self.class_weights, self.word_weights = np.zeros((self.rows, self.n_classes), np.float32), np.zeros((self.rows, SLOTS), np.float32)
-        with np.errstate(divide="ignore"):
-            self.class_bias = np.where(used, np.log(np.maximum(sums, 1e-300) / sums.sum()), -1e9).astype(np.float32)
-            shares = np.divide(counts, sums[:CLASSES, None], out=np.zeros_like(counts), where=used[:CLASSES, None])
-            self.word_bias = np.where(counts > 0, np.log(np.maximum(shares, 1e-300)), -1e9).astype(np.float32)
-        p = np.exp(self.class_bias.astype(float))
-        self.class_curve, self.word_curve = p * (1 - p), (shares * (1 - shares)).max(0)
+        growth = max(0, math.floor(math.log2(max(1, self.total) / BASE_TOKENS) / 3))
+        self.weights = np.zeros(WEIGHTS << growth, np.float32)
+        counts = np.array([n for _, n in self.head], float) + ALPHA
+        rest = max(self.total - (counts.sum() - ALPHA * len(counts)), 0) + ALPHA * (self.distinct - len(self.head) + 1)
+        mass = np.concatenate([[rest], counts])
+        #: Class of each rank; rank 0 is that of words outside the head.
+        self.class_of, least = np.zeros(len(mass), np.int64), CLASS_SHARE * mass.sum()
+        held, last = math.inf, 0
+        for r in range(1, len(mass)):
+            if held >= least or mass[r] >= least:
+                held, last = 0.0, last + 1
+            self.class_of[r] = last
+            held += mass[r]
+        self.n_classes = last + 1
+        sums = np.bincount(self.class_of, mass, self.n_classes)
+        #: log10 of the mass that the counts inside a class are divided by.
+        self.within_log = np.log10(sums)
+        paths, bias = halved(sums)
+        self.bias = np.array(bias, np.float32)
+        self.depth = np.array([len(p) for p in paths], np.int64)
+        self.first = np.cumsum(self.depth) - self.depth
+        self.halving = np.array([v for p in paths for v, _ in p], np.uint32)
+        self.side = np.array([x for p in paths for _, x in p], np.float32)
         self.log_counts = np.log10(np.array([0.0, *(n for _, n in self.head)]) + ALPHA)
 
     def __getstate__(self) -> dict:
@@ -124,23 +139,28 @@ class Model:
         return self.words
 
     def feature_rows(self, hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Indexes of weight rows (features, tokens); place: of each token in its text."""
+        """Hashes of the features (features, tokens), of 32 bits; place: of each token in its text."""
         back = [np.where(place >= k, np.roll(hashes, k), np.uint64(k)) for k in (1, 2, 3)]
         mixes = (back[0] * np.uint64(0x9E3779B97F4A7C15), back[0] * np.uint64(0xC2B2AE3D27D4EB4F) + back[1] * np.uint64(0x165667B19E3779F9), back[1] * np.uint64(0xD6E8FEB86659FD93), back[2] * np.uint64(0xA0761D6478BD642F))
-        return np.stack([(m ^ m >> np.uint64(31)) * np.uint64(0xE7037ED1A0B428DB) >> np.uint64(65 - self.rows.bit_length()) for m in mixes]).astype(np.int64)
-
-    def factors(self, rows: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Class logits of all tokens; those with a slot, their word rows and their slot logits. Held under 60, so that exp() can't overflow."""
-        z = self.class_weights[rows[0]]
-        for r in rows[1:]:
-            z += self.class_weights[r]
-        z += self.class_bias
-        slotted = np.flatnonzero((classes > 0) & (classes < CLASSES))
-        within = (rows[:, slotted] * 31 + classes[slotted] * 1031) & (self.rows - 1)
-        y = self.word_bias[classes[slotted]]
-        for r in within:
-            y += self.word_weights[r]
-        return np.minimum(z, 60, out=z), slotted, within, np.minimum(y, 60, out=y)
+        return np.stack([(m ^ m >> np.uint64(31)) * np.uint64(0xE7037ED1A0B428DB) >> np.uint64(32) for m in mixes]).astype(np.uint32)
+
+    def halvings(self, features: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """A sparse batch: of each halving on the classes' paths its token, its side, the place of its weight for each feature, and its logit."""
+        n = self.depth[classes]
+        token = np.repeat(np.arange(len(classes)), n)
+        at = np.arange(len(token)) + np.repeat(self.first[classes] - np.cumsum(n) + n, n)
+        node = self.halving[at]
+        mixed, shift = node * np.uint32(0x9E3779B1), np.uint32(33 - len(self.weights).bit_length())
+        places = [((f[token] ^ mixed) * np.uint32(0x85EBCA6B)) >> shift for f in features]
+        z = self.bias[node]
+        for i in places:
+            z += self.weights[i]
+        return token, self.side[at], places, z
+
+    def class_logs(self, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """log10 of P(class | history) of each token."""
+        token, side, _, z = self.halvings(features, classes)
+        return np.bincount(token, np.logaddexp(0, np.where(side > 0, -z, z)), len(classes)) / -math.log(10)
 
 
 class Words(dict):
@@ -186,76 +206,71 @@ def token_batches(model: Model, batches: Iterator[pa.RecordBatch], column: int)
         yield pack()
 
 
-def classes_of(model: Model, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return model.class_of[ranks], model.slot_of[ranks]
-
-
 def parts_of(n: int, size: int) -> Iterator[slice]:
     return (slice(a, min(a + size, n)) for a in range(0, n, size))
 
 
-def add_rows(to: np.ndarray, rows: np.ndarray, what: np.ndarray) -> None:
-    """to[rows] += what and, in the last column, the number of rows, where rows repeat."""
-    if not len(rows):
-        return
-    order = np.argsort(rows.astype(np.uint16 if len(to) <= 1 << 16 else np.uint32), kind="stable")
-    found = rows[order]
-    starts = np.flatnonzero(np.diff(found, prepend=-1))
-    to[found[starts], :-1] += np.add.reduceat(what[order], starts, axis=0)
-    to[found[starts], -1] += np.diff(np.append(starts, len(found)))
-
-
-def gradient(model: Model, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    """Per feature row: the class gradient and its tokens, the word gradient and its tokens; of the texts in the batches' only column."""
-    by_class, by_word = np.zeros((model.rows, model.n_classes + 1), np.float32), np.zeros((model.rows, SLOTS + 1), np.float32)
+def gradient(model: Model, batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each weight the gradient of the log probability and the curvature, summed over the texts in the batches' only column."""
+    slope, curve = np.zeros(len(model.weights), np.float32), np.zeros(len(model.weights), np.float32)
     for _, _, _, ranks, hashes, place in token_batches(model, batches, 0):
-        classes, slots = classes_of(model, ranks)
-        rows = model.feature_rows(hashes, place)
+        classes, features = model.class_of[ranks], model.feature_rows(hashes, place)
         for s in parts_of(len(ranks), AT_ONCE):
-            z, slotted, within, y = model.factors(rows[:, s], classes[s])
-            for x in (z, y):  # logits to minus the shares
-                np.exp(x, out=x)
-                x /= -x.sum(1, keepdims=True)
-            z[np.arange(len(z)), classes[s]] += 1
-            y[np.arange(len(y)), slots[s][slotted]] += 1
-            for k in range(FEATURES):
-                add_rows(by_class, rows[k, s], z)
-                add_rows(by_word, within[k], y)
-    return np.hstack([by_class, by_word])
-
-
-def gradient_sum(model: Model, texts: DataFrame) -> np.ndarray:
-    """gradient() over all texts: blocks of rows are added by salted block, then by block; the driver gets one sum of the model's size."""
+            _, side, places, z = model.halvings(features[:, s], classes[s])
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            missed, spread = side - p, p * (1 - p)
+            for i in places:
+                np.add.at(slope, i, missed)
+                np.add.at(curve, i, spread)
+    return slope, curve
+
+
+def gradient_sum(model: Model, texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """gradient() over all texts: blocks of weights are added by block, from many tasks by salted block first; the driver gets one sum of the model's
+    size. Curvatures, which only scale the step, travel as 16-bit numbers."""
     spark = texts.sparkSession
     held = spark.sparkContext.broadcast(model)
-    width = model.n_classes + SLOTS + 2
+    # every task hands on a whole gradient, so there are as many as cores can use, however large the input
+    tasks = max(spark.sparkContext.defaultParallelism, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        found, salt = gradient(held.value, batches), TaskContext.get().partitionId() % 16
-        blocks = [b.tobytes() for b in np.split(found, BLOCKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([salt] * BLOCKS, pa.int32()), pa.array(blocks, pa.binary())], names=["block", "salt", "data"])
+        slope, curve = gradient(held.value, batches)
+        salt = TaskContext.get().partitionId() % 64
+        for k, (g, h) in enumerate(zip(np.split(slope, BLOCKS), np.split(np.minimum(curve, 6e4).astype(np.float16), BLOCKS), strict=True)):
+            if g.any():
+                yield packed_blocks([k], [salt], [g.tobytes()], [h.tobytes()])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        sums: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for block, salt, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(data, np.float32)
-                sums[block, salt] = sums[block, salt] + x if (block, salt) in sums else x
-        keys = list(sums)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([0] * len(keys), pa.int32()), pa.array([sums[k].tobytes() for k in keys], pa.binary())], names=["block", "salt", "data"])
-
-    schema = "block int, salt int, data binary"
+            for block, g, h in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                g, h = np.frombuffer(g.as_buffer(), np.float32), np.frombuffer(h.as_buffer(), np.float16).astype(np.float32)
+                if block in sums:
+                    sums[block][0] += g
+                    sums[block][1] += h
+                else:
+                    sums[block] = [g.copy(), h]
+        if sums:
+            yield packed_blocks(list(sums), [0] * len(sums), [x[0].tobytes() for x in sums.values()], [np.minimum(x[1], 6e4).astype(np.float16).tobytes() for x in sums.values()])
+
+    schema = "block int, salt int, slope binary, curve binary"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # every task hands on a whole gradient, so there are as many as cores can use, however large the input
-    salted = texts.coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(run, schema).repartition(parts, "block", "salt").mapInArrow(add, schema)
-    summed = salted.repartition(min(parts, BLOCKS), "block").mapInArrow(add, schema)
-    out = np.zeros((BLOCKS, model.rows // BLOCKS * width), np.float32)
-    for row in summed.collect():
-        out[row.block] += np.frombuffer(row.data, np.float32)
+    summed = texts.coalesce(tasks).mapInArrow(run, schema)
+    if tasks > 64:
+        summed = summed.repartition(parts, "block", "salt").mapInArrow(add, schema)
+    summed = summed.repartition(min(parts, BLOCKS), "block").mapInArrow(add, schema)
+    slope, curve = np.zeros((BLOCKS, len(model.weights) // BLOCKS), np.float32), np.zeros((BLOCKS, len(model.weights) // BLOCKS), np.float32)
+    for row in summed.toLocalIterator():
+        slope[row.block] += np.frombuffer(row.slope, np.float32)
+        curve[row.block] += np.frombuffer(row.curve, np.float16)
     held.unpersist()
-    return out.reshape(model.rows, width)
+    return slope.ravel(), curve.ravel()
+
+
+def packed_blocks(blocks: list[int], salts: list[int], slopes: list[bytes], curves: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(salts, pa.int32()), pa.array(slopes, pa.binary()), pa.array(curves, pa.binary())], names=["block", "salt", "slope", "curve"])
 
 
 def frequent(counts: DataFrame, most: int = HEAD) -> list[tuple[str, int]]:
@@ -277,10 +292,8 @@ def train(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     head = frequent(counts)
     model = Model(head, total, distinct)
     for k in range(rounds if total else 0):
-        g = gradient_sum(model, texts.where(F.pmod(F.col("part"), F.lit(rounds)) == k).select("text"))
-        # a diagonal Newton step: a row's curvature is its tokens times that of the bias
-        for weights, grad, n, curve in ((model.class_weights, g[:, : model.n_classes], g[:, model.n_classes], model.class_curve), (model.word_weights, g[:, model.n_classes + 1 : -1], g[:, -1], model.word_curve)):
-            weights += (STEP * grad / (n[:, None] * np.maximum(curve, 1e-3) + RIDGE)).astype(np.float32)
+        slope, curve = gradient_sum(model, texts.where(F.pmod(F.col("part"), F.lit(rounds)) == k).select("text"))
+        model.weights += np.float32(STEP) * slope / (curve + np.float32(RIDGE))  # a diagonal Newton step
     return model, counts
 
 
@@ -292,17 +305,11 @@ def score_rows(rows: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for docs, words, first, ranks, hashes, place in token_batches(model, batches, 2):
-            classes, slots = classes_of(model, ranks)
-            features = model.feature_rows(hashes, place)
-            logs = np.empty(len(ranks))
-            for s in parts_of(len(ranks), AT_ONCE):
-                z, slotted, _, y = model.factors(features[:, s], classes[s])
-                found = z[np.arange(len(z)), classes[s]] - np.log(np.exp(z).sum(1, dtype=float))
-                found[slotted] += y[np.arange(len(y)), slots[s][slotted]] - np.log(np.exp(y).sum(1, dtype=float))
-                logs[s] = found / math.log(10)
+            classes, features = model.class_of[ranks], model.feature_rows(hashes, place)
+            logs = np.concatenate([model.class_logs(features[:, s], classes[s]) for s in parts_of(len(ranks), AT_ONCE)])
             known = ranks > 0
             base = np.where(known, model.log_counts[ranks], 0.0)
-            logs += np.where((classes == 0) | (classes >= CLASSES), base - model.within_log[classes], 0.0)
+            logs += base - model.within_log[classes]
             ends = np.append(first[1:], len(ranks))
             rare_words, rare_counts, offsets = [], [], [0]
             rare_places = np.flatnonzero(~known)
