@@ -37,7 +37,7 @@ FEATURES, ROUNDS, STEP, RIDGE = 4, 4, 0.35, 4.0
 #: Distinct words of a task that are counted before they are handed on, and tokens that are scored at once.
 COUNTED, TOKENS = 300_000, 1 << 16
 #: Tokens whose halvings are held at once, small enough for a core's cache.
-AT_ONCE = 1 << 13
+AT_ONCE = 1 << 11
 #: Entries of a worker's word table.
 TABLE_ENTRIES = 400_000
 RANK_BITS = 20
@@ -151,7 +151,7 @@ class Model:
         at = np.arange(len(token)) + np.repeat(self.first[classes] - np.cumsum(n) + n, n)
         node = self.halving[at]
         mixed, shift = node * np.uint32(0x9E3779B1), np.uint32(33 - len(self.weights).bit_length())
-        places = [((f[token] ^ mixed) * np.uint32(0x85EBCA6B)) >> shift for f in features]
+        places = [(((f[token] ^ mixed) * np.uint32(0x85EBCA6B)) >> shift).astype(np.int64) for f in features]
         z = self.bias[node]
         for i in places:
             z += self.weights[i]
