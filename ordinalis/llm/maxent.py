@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +39,6 @@ FEATURES, ROUNDS, STEP, RIDGE = 4, 4, 0.35, 4.0
 COUNTED, TOKENS = 300_000, 1 << 16
 #: Tokens whose halvings are held at once, small enough for a core's cache.
 AT_ONCE = 1 << 11
-#: Entries of a worker's word table.
-TABLE_ENTRIES = 400_000
 RANK_BITS = 20
 
 
@@ -57,19 +56,19 @@ def part(key: Column) -> Column:
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
-    """word, n over texts (one column); tasks hand on sums of COUNTED words at most."""
+    """word, n over texts (one column); tasks hand on their sums after the batch in which they come to more than COUNTED words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-        counts: Counter[bytes] = Counter()
+        counts: Counter[str] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(tokens(text))
-                if len(counts) > COUNTED:
-                    yield rows()
-                    counts.clear()
+            words, codes, _ = coded(batch.column(0))
+            counts.update(dict(zip(words.to_pylist(), np.bincount(codes, minlength=len(words)).tolist(), strict=True)))
+            if len(counts) > COUNTED:
+                yield rows()
+                counts.clear()
         if counts:
             yield rows()
 
@@ -154,56 +153,62 @@ class Model:
         places = [(((f[token] ^ mixed) * np.uint32(0x85EBCA6B)) >> shift).astype(np.int64) for f in features]
         z = self.bias[node]
         for i in places:
-            z += self.weights[i]
+            z += self.weights.take(i)
         return token, self.side[at], places, z
 
     def class_logs(self, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """log10 of P(class | history) of each token."""
         token, side, _, z = self.halvings(features, classes)
-        return np.bincount(token, np.logaddexp(0, np.where(side > 0, -z, z)), len(classes)) / -math.log(10)
+        against = np.clip(np.where(side > 0, -z, z), -80, 80)
+        return np.bincount(token, np.log(1 + np.exp(against)), len(classes)) / -math.log(10)
 
 
 class Words(dict):
-    """Word to its hash and, in the low bits, its rank from 1 in the head or 0. Kept by a worker between batches."""
+    """Word to its hash and, in the low bits, its rank from 1 in the head or 0."""
 
     def __init__(self, model: Model):
         import xxhash
 
-        self.hash, self.heads = xxhash.xxh32_intdigest, {w.encode(): (xxhash.xxh32_intdigest(w.encode()) << RANK_BITS) | r + 1 for r, (w, _) in enumerate(model.head)}
-        super().__init__(self.heads)
+        self.hash = xxhash.xxh32_intdigest
+        super().__init__((w, self.hash(w) << RANK_BITS | r + 1) for r, (w, _) in enumerate(model.head))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > TABLE_ENTRIES + HEAD:
-            self.clear()
-            self.update(self.heads)
-        if word in self.heads:
-            return self.heads[word]
-        self[word] = found = self.hash(word) << RANK_BITS
-        return found
+    def __missing__(self, word: str) -> int:
+        return self.hash(word) << RANK_BITS
 
 
-def token_batches(model: Model, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[tuple], list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows, their tokens, first token of each row, ranks, hashes and places of all tokens, for TOKENS tokens or one text at a time."""
-    table = model.word_table()
+def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """tokens() of many texts: distinct words, of each token the place of its word among them, and of each text its number of tokens."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    starts, flat = np.asarray(words.offsets) - words.offsets[0].as_py(), words.flatten()
+    full = np.asarray(pc.binary_length(flat)) > 0  # white space at the ends of a text leaves empty strings
+    upto = np.concatenate([[0], np.cumsum(full)])
+    sizes = np.diff(upto[starts]) + 1
+    found = flat.filter(pa.array(full)).dictionary_encode()
+    codes = np.full(sizes.sum(), len(found.dictionary), np.int64)
+    inside = np.ones(len(codes), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    codes[inside] = np.asarray(found.indices)
+    return pa.concat_arrays([found.dictionary, pa.array([END], found.dictionary.type)]), codes, sizes
 
-    def pack() -> tuple:
-        sizes = np.array([len(x) for x in held])
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        packed = np.concatenate([np.fromiter(map(table.__getitem__, x), np.uint64, len(x)) for x in held])
-        place = np.arange(len(packed)) - np.repeat(first, sizes)
-        return rows, held, first, (packed & np.uint64((1 << RANK_BITS) - 1)).astype(np.int64), packed >> np.uint64(RANK_BITS), place
 
-    rows, held, size = [], [], 0
+def token_batches(model: Model, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.Array], tuple[pa.Array, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Columns before the texts', distinct words and codes of all tokens, first token of each row, ranks, hashes and places of all tokens, for TOKENS
+    tokens or one text at a time. A batch's distinct words are looked up once."""
+    table = model.word_table()
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rows.append(row[:column])
-            held.append(tokens(row[column]))
-            size += len(held[-1])
-            if size >= TOKENS:
-                yield pack()
-                rows, held, size = [], [], 0
-    if held:
-        yield pack()
+        words, codes, sizes = coded(batch.column(column))
+        packed = np.fromiter(map(table.__getitem__, words.to_pylist()), np.uint64, len(words))
+        ends = np.cumsum(sizes)
+        row = 0
+        while row < len(sizes):
+            begin = ends[row] - sizes[row]
+            upto = min(max(int(np.searchsorted(ends, begin + TOKENS, "right")), row + 1), len(sizes))
+            first = ends[row:upto] - sizes[row:upto] - begin
+            part = codes[begin : ends[upto - 1]]
+            found = packed[part]
+            place = np.arange(len(part)) - np.repeat(first, sizes[row:upto])
+            yield [c.slice(row, upto - row) for c in batch.columns[:column]], (words, part), first, (found & np.uint64((1 << RANK_BITS) - 1)).astype(np.int64), found >> np.uint64(RANK_BITS), place
+            row = upto
 
 
 def parts_of(n: int, size: int) -> Iterator[slice]:
@@ -212,17 +217,17 @@ def parts_of(n: int, size: int) -> Iterator[slice]:
 
 def gradient(model: Model, batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     """Of each weight the gradient of the log probability and the curvature, summed over the texts in the batches' only column."""
-    slope, curve = np.zeros(len(model.weights), np.float32), np.zeros(len(model.weights), np.float32)
+    both = np.zeros(len(model.weights), np.complex64)  # slope and curvature, so that one access adds both
     for _, _, _, ranks, hashes, place in token_batches(model, batches, 0):
         classes, features = model.class_of[ranks], model.feature_rows(hashes, place)
         for s in parts_of(len(ranks), AT_ONCE):
             _, side, places, z = model.halvings(features[:, s], classes[s])
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            missed, spread = side - p, p * (1 - p)
+            step = np.empty(len(p), np.complex64)
+            step.real, step.imag = side - p, p * (1 - p)
             for i in places:
-                np.add.at(slope, i, missed)
-                np.add.at(curve, i, spread)
-    return slope, curve
+                np.add.at(both, i, step)
+    return both.real.copy(), both.imag.copy()
 
 
 def gradient_sum(model: Model, texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -304,25 +309,21 @@ def score_rows(rows: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for docs, words, first, ranks, hashes, place in token_batches(model, batches, 2):
+        for docs, (names, codes), first, ranks, hashes, place in token_batches(model, batches, 2):
             classes, features = model.class_of[ranks], model.feature_rows(hashes, place)
             logs = np.concatenate([model.class_logs(features[:, s], classes[s]) for s in parts_of(len(ranks), AT_ONCE)])
             known = ranks > 0
             base = np.where(known, model.log_counts[ranks], 0.0)
             logs += base - model.within_log[classes]
             ends = np.append(first[1:], len(ranks))
-            rare_words, rare_counts, offsets = [], [], [0]
-            rare_places = np.flatnonzero(~known)
-            cuts = np.searchsorted(rare_places, np.append(first, len(ranks))).tolist()
-            for text, a, b, at in zip(words, cuts[:-1], cuts[1:], first.tolist(), strict=True):
-                rare = Counter(map(text.__getitem__, (rare_places[a:b] - at).tolist()))
-                rare_words += rare.keys()
-                rare_counts += rare.values()
-                offsets.append(len(rare_words))
-            pairs = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()).cast(pa.string()), pa.array(rare_counts, pa.int64())], names=["word", "m"])
-            columns = [[d[0] for d in docs], [d[1] for d in docs], ends - first, np.add.reduceat(known.astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(logs, first)]
-            arrays = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=False)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)], names=schema.names)
+            rare = np.flatnonzero(~known)
+            # rows and words as one number, which sorts by row
+            pairs, times = np.unique(np.searchsorted(ends, rare, "right") * len(names) + codes[rare], return_counts=True)
+            offsets = np.searchsorted(pairs, np.arange(len(first) + 1) * len(names))
+            tail = pa.StructArray.from_arrays([names.take(pa.array(pairs % len(names))).cast(pa.string()), pa.array(times, pa.int64())], names=["word", "m"])
+            columns = [ends - first, np.add.reduceat(known.astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(logs, first)]
+            numbers = [pa.array(c, f.type) for c, f in zip(columns, list(schema)[len(docs) :], strict=False)]
+            yield pa.RecordBatch.from_arrays([*docs, *numbers, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail)], names=schema.names)
 
     return rows.mapInArrow(run, "key long, held_out boolean, n_tokens long, n_known long, base_log double, score_log double, tail array<struct<word:string,m:long>>")
 
