@@ -124,7 +124,9 @@ class Model:
         self.bias = np.array(bias, np.float32)
         self.depth = np.array([len(p) for p in paths], np.int64)
         self.first = np.cumsum(self.depth) - self.depth
-        self.halving = np.array([v for p in paths for v, _ in p], np.uint32)
+        #: Of each step of the paths, one class after another: the hash of its halving, the halving's bias, the side taken.
+        halving = np.array([v for p in paths for v, _ in p], np.uint32)
+        self.mixed, self.ratio = halving * np.uint32(0x9E3779B1), self.bias[halving]
         self.side = np.array([x for p in paths for _, x in p], np.float32)
         self.log_counts = np.log10(np.array([0.0, *(n for _, n in self.head)]) + ALPHA)
 
@@ -147,20 +149,27 @@ class Model:
         """A sparse batch: of each halving on the classes' paths its token, its side, the place of its weight for each feature, and its logit."""
         n = self.depth[classes]
         token = np.repeat(np.arange(len(classes)), n)
-        at = np.arange(len(token)) + np.repeat(self.first[classes] - np.cumsum(n) + n, n)
-        node = self.halving[at]
-        mixed, shift = node * np.uint32(0x9E3779B1), np.uint32(33 - len(self.weights).bit_length())
-        places = [(((f[token] ^ mixed) * np.uint32(0x85EBCA6B)) >> shift).astype(np.int64) for f in features]
-        z = self.bias[node]
-        for i in places:
-            z += self.weights.take(i)
-        return token, self.side[at], places, z
+        at = np.arange(len(token))
+        at += (self.first[classes] - np.cumsum(n) + n).take(token)
+        mixed, shift = self.mixed.take(at), np.uint32(33 - len(self.weights).bit_length())
+        places, z = [], self.ratio.take(at)
+        for f in features:
+            i = f.take(token)
+            i ^= mixed
+            i *= np.uint32(0x85EBCA6B)
+            i >>= shift
+            places.append(i.astype(np.int64))
+            z += self.weights.take(places[-1])
+        return token, self.side.take(at), places, z
 
     def class_logs(self, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """log10 of P(class | history) of each token."""
         token, side, _, z = self.halvings(features, classes)
-        against = np.clip(np.where(side > 0, -z, z), -80, 80)
-        return np.bincount(token, np.log(1 + np.exp(against)), len(classes)) / -math.log(10)
+        z *= 1 - 2 * side
+        np.clip(z, -80, 80, out=z)
+        np.exp(z, out=z)
+        z += 1
+        return np.bincount(token, np.log(z, out=z), len(classes)) / -math.log(10)
 
 
 class Words(dict):
@@ -178,13 +187,13 @@ class Words(dict):
 
 def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """tokens() of many texts: distinct words, of each token the place of its word among them, and of each text its number of tokens."""
-    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
     starts, flat = np.asarray(words.offsets) - words.offsets[0].as_py(), words.flatten()
     full = np.asarray(pc.binary_length(flat)) > 0  # white space at the ends of a text leaves empty strings
     upto = np.concatenate([[0], np.cumsum(full)])
     sizes = np.diff(upto[starts]) + 1
     found = flat.filter(pa.array(full)).dictionary_encode()
-    codes = np.full(sizes.sum(), len(found.dictionary), np.int64)
+    codes = np.full(sizes.sum(), len(found.dictionary), np.int32)
     inside = np.ones(len(codes), bool)
     inside[np.cumsum(sizes) - 1] = False
     codes[inside] = np.asarray(found.indices)
