@@ -592,6 +592,34 @@ def small_model():
     return maxent.Model(ranked[:150], sum(counts.values()), len(counts)), batches, counts
 
 
+def test_coded_words_are_the_tokens_of_each_text():
+    """Of null and empty texts, all kinds of white space and controls, other letters, and of a slice of a batch."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(9)
+    texts = [None, "", " ", "\n\n", "A", " a B ", "x\x1cy\x85z\xa0w\u2003v", "\u0130 \u00c9 \u1e9e", *("".join(r.choice("abAB \t\n\x0b\x0c\r\x1c\x1f\x00\u00e9\u3000") for _ in range(r.randrange(60))) for _ in range(500)), None]
+    for column, expected in ((pa.array(texts), texts), (pa.array(texts).slice(5, 90), texts[5:95]), (pa.array([None, None], pa.string()), [None, None]), (pa.array([], pa.string()), [])):
+        words, codes, sizes = maxent.coded(column)
+        found, ends = [w.encode() for w in words.take(pa.array(codes)).to_pylist()], np.cumsum(sizes)
+        assert [found[b - n : b] for b, n in zip(ends, sizes, strict=True)] == [maxent.tokens(t) for t in expected]
+        assert len(set(words.to_pylist())) == len(words)
+
+
+def test_batches_of_tokens_hold_all_rows_in_order(monkeypatch):
+    """However few tokens a batch may hold, and with a text longer than that."""
+    import pyarrow as pa
+
+    model, batches, _ = small_model()
+    texts = [*next(batches()).column(0).to_pylist(), None, "", "a b"]
+    whole = [np.concatenate(x) for x in zip(*(b[3:] for b in maxent.token_batches(model, iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]), 0)), strict=True)]
+    monkeypatch.setattr(maxent, "TOKENS", 200)
+    parts = list(maxent.token_batches(model, iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["key", "text"])]), 1))
+    assert [k for docs, *_ in parts for k in docs[0].to_pylist()] == list(range(len(texts))) and len(parts) > 3
+    assert all((np.concatenate(x) == y).all() for x, y in zip(zip(*(b[3:] for b in parts), strict=True), whole, strict=True))
+
+
 def log_probability(model, batches):
     """log10 of the classes' probabilities, over all tokens."""
     return sum(model.class_logs(model.feature_rows(hashes, place), model.class_of[ranks]).sum() for _, _, _, ranks, hashes, place in maxent.token_batches(model, batches, 0))
