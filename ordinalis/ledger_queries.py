@@ -104,9 +104,12 @@ def rebuilt(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pending(spark: SparkSession, folder: str) -> DataFrame:
-    """state, n, committed, hits: rows that aren't committed are seen by their store, also beside committed ones, and by no other."""
+    """state, n, committed, hits: rows that aren't committed are seen by their store, also beside committed ones, and by no other.
+
+    The append doesn't commit, however many rows it has: a full store would by itself.
+    """
     store = own_store(spark, folder)
-    store.append_range(transactions(spark, folder).where("v3 % 2 = 0").withColumn("seq", F.col("v3")))
+    store.append_range(transactions(spark, folder).where("v3 % 2 = 0").withColumn("seq", F.col("v3")), commit=False)
     rows = [(name, s.count, s.committed_count, s.count_by("v0", KEY)) for name, s in (("pending", store), ("reopened", reopened(store)))]
     return spark.createDataFrame(rows, "state string, n long, committed long, hits long")
 

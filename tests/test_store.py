@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ordinalis import cli
+from ordinalis import cli, ledger_queries
 from ordinalis.model import ADDRESSES, TRANSACTIONS, StoreSpec, required
 from ordinalis.operators import ingest, lookup
 from ordinalis.plans.compaction import Progress, Run, makes_progress, next_merge, planned_entries
@@ -414,3 +414,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["find-id", root, "999"]) == 2 and cli.main(["find-address", root, "z" * 65]) == 2
     assert cli.main(["maintain", root]) == 0 and cli.main(["stats", root]) == 0 and "100 records x 40 bytes" in capsys.readouterr().out
     assert cli.main(["nonsense", root]) == 1 and cli.main(["find-v1", root]) == 1
+
+
+def test_pending_rows_over_the_commit_threshold(spark, monkeypatch):
+    """Rows that are as many as a store holds before it commits by itself stay pending in the query about pending rows."""
+    duckdb = pytest.importorskip("duckdb")
+    folder = "/root/testdata/sf0.01"
+    monkeypatch.setattr(ledger_queries, "OPTIONS", StoreOptions(memtable_entries=1024, max_segment_entries=1 << 20, merge_fanout=3))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{folder}/orders.parquet'")
+    found = values(ledger_queries.queries()["store_pending"](spark, folder))
+    assert sorted(found) == sorted(con.execute(ledger_queries.oracle_sql()["store_pending"]).fetchall()) and found[0][1] - found[0][2] >= 1024
