@@ -186,7 +186,10 @@ def order_windows(texts: DataFrame) -> DataFrame:
 
 
 def deal_windows(texts: DataFrame) -> DataFrame:
-    """As order_windows, for groups of any size: a row for every window, counted by its hash with partial sums before the shuffle."""
+    """As order_windows, for groups of any size: a row for every window, counted by its hash with partial sums before the shuffle.
+
+    Windows are hashed once to be counted and once to be met, from the same shuffled texts, so that they need no table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +199,6 @@ def deal_windows(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([same(gram), pa.array(hashes), same(min(n, 2)), same(key), same(text_hash), pa.array(first + np.arange(len(hashes)))], names=["gram", "window", "n", "key", "text_hash", "start"])
 
     windows = texts.mapInArrow(run, "gram long, window long, n long, key long, text_hash long, start long")
-    windows = materialize(windows, "windows")
     twice = windows.groupBy("gram", "window").agg(F.sum("n").alias("m")).where("m > 1").select("gram", "window")
     return windows.where("n = 1").join(twice, ["gram", "window"]).select("key", "text_hash", "start", (F.col("start") + WINDOW).alias("end"))
 
@@ -212,14 +214,14 @@ def repeated_spans(docs: DataFrame, group_cells: int = GROUP_CELLS) -> DataFrame
     kinds = rest.groupBy("gram", "cell").agg(F.count("*").alias("n"), F.min(F.struct("key", "text_hash", "first", "last")).alias("r"))
     kinds = materialize(kinds.select("gram", "cell", "n", "r.*"), "kinds")
     twice = rest.join(kinds.where("n > 1").select("gram", "cell"), ["gram", "cell"])
-    texts = cell_texts(docs, kinds.drop("cell"))
     large = materialize(kinds.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > group_cells).select("gram"), "large")
-    if large.isEmpty():
-        last = order_windows(texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gram").sortWithinPartitions("gram"))
-    else:
-        texts = materialize(texts, "texts")
-        few = texts.join(large, "gram", "left_anti").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gram")
-        last = order_windows(few.sortWithinPartitions("gram")).unionByName(deal_windows(texts.join(large, "gram", "left_semi")))
+    many = not large.isEmpty()
+    few = kinds.join(large, "gram", "left_anti") if many else kinds
+    # no table of these texts: whoever reads docs by row, the caller included, does so in one plan, where they are shuffled once
+    texts = cell_texts(docs, few.drop("cell")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gram")
+    last = order_windows(texts.sortWithinPartitions("gram"))
+    if many:
+        last = last.unionByName(deal_windows(cell_texts(docs, kinds.join(large, "gram", "left_semi").drop("cell"))))
     return met.where("alike").select(*whole).unionByName(twice.select(*whole)).unionByName(last)
 
 

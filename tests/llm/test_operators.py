@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ordinalis.llm import chunks, components, decontamination, entry, licenses, maxent, piece_codec, quality, repeats, secrets, simhash, sorted_tables, token_counts
 from ordinalis.llm.shared import fresh_path
+from ordinalis.sources import scratch
 
 BYTE, PIECE = entry.tokenizer_file(entry.BYTE_BPE), entry.tokenizer_file(entry.PIECE_BPE)
 ROWS = documents()
@@ -167,6 +168,22 @@ def test_repeated_strings(spark, group_cells):
     assert rows_of(found) == removed_by_hand(rows)
 
 
+def test_repeated_strings_shuffle_texts_once(spark):
+    """Groups over the bound read the texts that are shuffled anyway: they make no second shuffle of whole texts and no table of parts of them."""
+    df = spark.createDataFrame([(r[0], r[1]) for r in ROWS], "doc_id long, text string")
+    since = scratch.made()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = repeats.remove_repeats(df, group_cells=2)
+        assert not any(re.search("/(texts|windows)-", x) for x in scratch._made[since:])
+        plan = found._jdf.queryExecution()
+        found.collect()
+        shown = plan.executedPlan().toString().split("== Initial Plan ==")[0]
+        assert len(re.findall(r"ReusedExchange \[key#\d+L, text_hash#\d+L, text#\d+\]", shown)) >= 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 # 3
 
 
