@@ -5,6 +5,7 @@ Built-in expressions only. Texts never move: patterns run where texts are read,
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -30,12 +31,39 @@ KINDS = tuple(k[0] for k in BASE + ADDED)
 MAX_LIVE_OWNERS, MAX_LIVE_REPOSITORIES = 2, 4
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,value:string>>"
 RUN = 256
+#: Code points of a text among which a short part is looked for.
+STRETCH = 4096
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once: named outright, it would be worked out again for each element that a lambda is called with."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def run_of(i: Column) -> Column:
+    return F.floor(i / RUN).cast("int")
 
 
 def lengths_before(steps: Column) -> Column:
     """Exclusive running sums of an array, in time near to its size: sums of runs first, then inside each run."""
-    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(steps) / RUN).cast("int")), lambda r: F.aggregate(F.slice(steps, r * RUN + 1, F.lit(RUN)), F.lit(0).cast("bigint"), lambda a, x: a + x))
-    return F.transform(steps, lambda _, i: F.aggregate(F.slice(runs, F.lit(1), F.floor(i / RUN).cast("int")), F.lit(0).cast("bigint"), lambda a, x: a + x) + F.aggregate(F.slice(steps, F.floor(i / RUN).cast("int") * RUN + 1, i % RUN), F.lit(0).cast("bigint"), lambda a, x: a + x))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, y: a + y)
+    runs = F.transform(F.sequence(F.lit(0), run_of(F.size(steps))), lambda r: total(F.slice(steps, r * RUN + 1, F.lit(RUN))))
+    return bound(runs, lambda rs: F.transform(steps, lambda _, i: total(F.slice(rs, F.lit(1), run_of(i))) + total(F.slice(steps, run_of(i) * RUN + 1, i % RUN))))
+
+
+def most_before(ends: Column) -> Column:
+    """Exclusive running maxima of an array, from 0 on, in the same way."""
+    most = lambda x: F.coalesce(F.array_max(x), F.lit(0).cast("bigint"))
+    runs = F.transform(F.sequence(F.lit(0), run_of(F.size(ends))), lambda r: most(F.slice(ends, r * RUN + 1, F.lit(RUN))))
+    return bound(runs, lambda rs: F.transform(ends, lambda _, i: F.greatest(most(F.slice(rs, F.lit(1), run_of(i))), most(F.slice(ends, run_of(i) * RUN + 1, i % RUN)))))
+
+
+def pieces(text: Column, ranges: Column) -> Column:
+    """The parts of a text at ranges (a, b) of code points. Short ones are cut from the stretch that they begin in, as a cut is found from the start."""
+    stretches = F.transform(F.sequence(F.lit(0), F.floor(F.char_length(text) / STRETCH).cast("int")), lambda k: F.substring(text, k * STRETCH + 1, F.lit(2 * STRETCH)))
+    size = lambda g: (g["b"] - g["a"]).cast("int")
+    near = lambda s, g: F.substring(F.get(s, F.floor(g["a"] / STRETCH).cast("int")), (g["a"] % STRETCH + 1).cast("int"), size(g))
+    return bound(stretches, lambda s: F.transform(ranges, lambda g: F.when(size(g) <= STRETCH, near(s, g)).otherwise(F.substring(text, (g["a"] + 1).cast("int"), size(g)))))
 
 
 def with_spans(df: DataFrame, text: str, out: str, rank: int, kind: tuple[str, str, int, int, tuple[str, ...]]) -> DataFrame:
@@ -119,13 +147,13 @@ def redact(df: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "te
     marked = spans.where(F.size("spans") > 0).select(F.col(f"`{key}`").alias("_k"), F.col("text_hash").alias("_h"), "spans").dropDuplicates(["_k", "_h"])
     rows = packed(df, key=F.col(f"`{key}`"), text=F.col(f"`{text}`"), text_hash=F.xxhash64(f"`{text}`"))
     out = rows.join(marked, F.col("key").eqNullSafe(F.col("_k")) & (F.col("text_hash") == F.col("_h")), "left")
-    # a span's beginning is the furthest end before it, so that overlaps leave no text between them
-    start = F.struct(F.array().cast("array<struct<a:bigint,b:bigint>>").alias("gaps"), F.lit(0).cast("bigint").alias("at"))
-    gaps = F.aggregate("spans", start, lambda a, s: F.struct(F.when(s["start"] >= a["at"], F.concat(a["gaps"], F.array(F.struct(a["at"].alias("a"), s["start"].alias("b"))))).otherwise(a["gaps"]).alias("gaps"), F.greatest(a["at"], s["end"]).alias("at")))
-    out = out.withColumn("_cut", F.when(F.col("spans").isNotNull(), gaps))
-    piece = lambda a, n: F.substring("text", (a + 1).cast("int"), n)
-    parts = F.transform("_cut.gaps", lambda g: piece(g["a"], (g["b"] - g["a"]).cast("int")))
-    whole = F.array_join(F.concat(parts, F.array(piece(F.col("_cut.at"), F.char_length("text")))), mark)
+    # what is left begins at the furthest end before, so that overlaps leave no text between them
+    some = lambda c: F.when(F.col("spans").isNotNull(), c)
+    out = out.withColumns({"_starts": some(F.col("spans.start")), "_ends": some(F.col("spans.end"))}).withColumn("_from", some(most_before(F.col("_ends"))))
+    gaps = F.filter(F.arrays_zip(F.col("_from").alias("a"), F.col("_starts").alias("b")), lambda g: g["b"] >= g["a"])
+    rest = F.struct(F.array_max("_ends").alias("a"), F.char_length("text").cast("bigint").alias("b"))
+    out = out.withColumn("_cut", some(F.concat(gaps, F.array(rest))))
+    whole = F.array_join(pieces(F.col("text"), F.col("_cut")), mark)
     redacted = F.when(F.col("spans").isNotNull(), whole).otherwise(F.col("text")).alias(text)
     return out.select(*[redacted if c == text else u for c, u in zip(df.columns, unpacked(df.columns), strict=True)])
 

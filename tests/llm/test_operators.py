@@ -502,6 +502,28 @@ def test_redaction(spark):
     assert all(not base_spans(t) for t in found.values() if t)
 
 
+def test_texts_of_many_secrets(spark):
+    """Spans and cuts of a text with tens of thousands of secrets take time near to its size: minutes where every span adds up all before it."""
+    import time
+
+    part = lambda i: f"é{i % 7 * 'x'} password=abc{i:06d} " + ("deadbeef" * 4 + "A1b" if i % 5 == 0 else "") + " " + "ü" * (9000 if i % 10_000 == 1 else 3) + "\n"
+    text = "".join(map(part, range(30_000))) + "AKIA" + "B" * 20
+    schema = "doc_id long, text string, lang string, source string"
+    df = spark.createDataFrame([(1, text, "en", "s"), (2, "none", "en", "s"), (3, None, "en", "s"), (4, "token=abcdef", "en", "s")], schema)
+    secrets.redact(df.limit(1), secrets.secret_spans(df.where("doc_id = 4"))).collect()
+    began = time.time()
+    spans = {r.doc_id: r.spans for r in secrets.secret_spans(df).collect()}
+    found = {r.doc_id: r.text for r in secrets.redact(df, secrets.secret_spans(df)).collect()}
+    assert time.time() - began < 60
+    assert sum(x.rank == 0 for x in spans[1]) == 30_000 and len(spans[1]) > 36_000
+    left, at = [], 0
+    for x in spans[1]:
+        if x.start >= at:
+            left.append(text[at : x.start])
+        at = max(at, x.end)
+    assert found == {1: "[SECRET]".join([*left, text[at:]]), 2: "none", 3: None, 4: "[SECRET]"}
+
+
 # 9
 
 
