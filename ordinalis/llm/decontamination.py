@@ -55,27 +55,33 @@ def ranked(phrases: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def occurrences(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """key, text_hash, phrase, start, n of every exact occurrence. windows: of ranked(), a table; those with a term that has no list can't occur."""
-    whole = windows.where(F.size("lists") == F.col("n"))
-    part = lambda k: F.get("lists", F.lit(k))
+    """key, text_hash, phrase, start, n of every exact occurrence. windows: of ranked(), a table; those with a term that has no list can't occur.
+
+    Places are shuffled and sorted with a window's number; its phrase and lists are looked up where they are needed.
+    """
+    whole = materialize(windows.where(F.size("lists") == F.col("n")).withColumn("w", F.monotonically_increasing_id()), "whole")
+    nth = lambda k: F.get("lists", F.lit(k))
+    part = lambda k: whole.where(F.size("lists") > k).select("w", nth(k)["term"].alias("term"), nth(k)["offset"].alias("offset"), "n")
     postings = index.where(F.col("term").isNotNull())
-    first = materialize(whole.select("phrase", "n", part(0)["term"].alias("term"), part(0)["offset"].alias("offset"), F.slice("lists", 2, WINDOW).alias("lists")), "first")
+    first = materialize(part(0), "first")
     start = F.col("at") - F.col("offset")
-    places = postings.join(small(first), "term").select("key", "text_hash", "phrase", "n", start.alias("start"), "lists", "n_words").where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words"))).drop("n_words")
-    places = materialize(places.distinct(), "places")
+    places = postings.join(small(first), "term").select("key", "text_hash", "w", "n", start.alias("start"), "n_words").where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words")))
+    places = materialize(places.select("key", "text_hash", "w", "start").distinct(), "places")
     # the second rarest lists, those of the terms that some window has second
-    second = materialize(first.where(F.size("lists") > 0).select(part(0)["term"].alias("term")).distinct(), "second")
-    lists = postings.join(small(second), "term").select("key", "text_hash", "at", "term").distinct()
-    asked = places.where(F.size("lists") > 0).select("key", "text_hash", "phrase", "n", "start", F.slice("lists", 2, WINDOW).alias("rest"), part(0)["term"].alias("term"), (F.col("start") + part(0)["offset"]).alias("at"))
+    second = materialize(part(1).drop("n"), "second")
+    lists = postings.join(small(second.select("term").distinct()), "term").select("key", "text_hash", "at", "term").distinct()
+    asked = places.join(small(second), "w").select("key", "text_hash", "w", "start", "term", (F.col("start") + F.col("offset")).alias("at"))
     same = same_doc("a", "l") & (F.col("a.at") == F.col("l.at")) & (F.col("a.term") == F.col("l.term"))
-    left = materialize(asked.alias("a").join(lists.alias("l"), same, "left_semi").select("key", "text_hash", "phrase", "n", "start", "rest"), "left")
+    left = materialize(asked.alias("a").join(lists.alias("l"), same, "left_semi").select("key", "text_hash", "w", "start"), "left")
     # the lists of all other terms, in the documents that are left
-    reached = materialize(left.where(F.size("rest") > 0).select("key", "text_hash").distinct(), "reached")
+    rest = materialize(whole.where(F.size("lists") > 2).select("w", F.size("lists").alias("n"), F.inline(F.slice("lists", 3, WINDOW))).select("w", (F.col("n") - 2).alias("m"), "term", "offset"), "rest")
+    asked = left.join(small(rest), "w").select("key", "text_hash", "w", "start", "m", (F.col("start") + F.col("offset")).alias("at"), "term")
+    reached = materialize(asked.select("key", "text_hash").distinct(), "reached")
     lists = postings.alias("p").join(small(reached).alias("r"), same_doc("p", "r"), "left_semi").select("key", "text_hash", "at", "term").distinct()
-    asked = left.where(F.size("rest") > 0).select("key", "text_hash", "phrase", "n", "start", F.size("rest").alias("m"), F.explode("rest").alias("t")).select("key", "text_hash", "phrase", "n", "start", "m", (F.col("start") + F.col("t.offset")).alias("at"), F.col("t.term").alias("term"))
-    met = asked.alias("a").join(lists.alias("l"), same, "left_semi").groupBy("key", "text_hash", "phrase", "n", "start", "m").agg(F.count("*").alias("agreed")).where("agreed = m")
-    out = ["key", "text_hash", "phrase", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n")]
-    return places.where(F.size("lists") == 0).select(*out).unionByName(left.where(F.size("rest") == 0).select(*out)).unionByName(met.select(*out))
+    met = asked.alias("a").join(lists.alias("l"), same, "left_semi").groupBy("key", "text_hash", "w", "start", "m").agg(F.count("*").alias("agreed")).where("agreed = m")
+    of_size = lambda rows, k: rows.join(small(whole.where(F.size("lists") == k).select("w")), "w", "left_semi").select("key", "text_hash", "w", "start")
+    found = of_size(places, 1).unionByName(of_size(left, 2)).unionByName(met.select("key", "text_hash", "w", "start"))
+    return found.join(small(whole.select("w", "phrase", "n")), "w").select("key", "text_hash", "phrase", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"))
 
 
 def proximity(docs: DataFrame, windows: DataFrame) -> DataFrame:

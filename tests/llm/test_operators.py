@@ -579,6 +579,22 @@ def test_lists_are_intersected_at_their_places(spark):
     assert found.where("n_hit > 0").count() > 100
 
 
+def test_decontamination_shuffles_places_by_window_number(spark, monkeypatch):
+    stored, written = {}, decontamination.materialize
+
+    def storing(df, name):
+        stored[name] = written(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(decontamination, "materialize", storing)
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, "two three"), (3, "ten eleven"), (4, "eleven")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "two three four five six seven eight nine ten eleven"), (2, "two three"), (3, "eleven"), (4, "three four five")], "item_id long, text string")
+    found = {r.doc_id: [tuple(x) for x in r.hits] for r in decontamination.decontaminate(docs, items).collect()}
+    assert found == {1: [(1, 2), (1, 10), (2, 3), (10, 1)], 2: [(0, 2)], 3: [(1, 1)], 4: [(0, 1)]}
+    for name in ("places", "left"):  # no phrase and no list of a window stands in a row for each place
+        assert not [c for c, kind in stored[name].dtypes if kind == "string" or kind.startswith("array")]
+
+
 def test_decontamination_without_items(spark):
     found = decontamination.op9(frame(spark, ROWS, clash=True), spark.createDataFrame([], "item_id long, text string"))
     assert found.count() == len(ROWS) and found.where("n_hit > 0 or n_near > 0").count() == 0
