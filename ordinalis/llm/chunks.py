@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 
@@ -35,7 +36,7 @@ class ChunkTable:
     """cut: text to chunks. encode: list of chunks to the little-endian 32-bit ids of each."""
 
     def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], Iterable[bytes]]):
-        self.cut, self.encode, self.table, self.last = cut, encode, {}, set()
+        self.cut, self.encode, self.table, self.last = cut, encode, {}, []
 
     def __call__(self, texts: Iterable[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -48,21 +49,34 @@ class ChunkTable:
                 held, size = [], 0
         return out + self.together(held)
 
-    def rest(self) -> None:
-        """Between tasks a worker keeps the chunks of the last texts, the frequent ones among them, and gives the other memory back."""
-        self.table = {c: self.table[c] for c in self.last.intersection(self.table)}
+    def rest(self, entries: int = 0) -> None:
+        """Between tasks a worker keeps a table of up to so many entries; of a larger one, the chunks of the last texts, the frequent ones among
+        them, and gives the other memory back."""
+        if len(self.table) > entries:
+            self.table = {c: self.table[c] for c in set(self.last).intersection(self.table)}
+        self.last = []
 
     def together(self, texts: list[str]) -> list[bytes]:
+        self.last = []
         cut = [self.cut(x) for x in texts]
-        self.last = here = set().union(*cut)
+        chunks = list(chain.from_iterable(cut))
         if len(self.table) > TABLE_ENTRIES:
-            self.table = {c: self.table[c] for c in here.intersection(self.table)}
-        new = list(here.difference(self.table))
+            self.table = {c: self.table[c] for c in set(chunks).intersection(self.table)}
+        # each chunk is looked up once; those that the table lacks are filled in
+        ids = list(map(self.table.get, chunks))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        new = list({chunks[i] for i in gaps})
         self.table.update(zip(new, self.encode(new), strict=True))
-        out = [b"".join(map(self.table.__getitem__, x)) for x in cut]
+        for i in gaps:
+            ids[i] = self.table[chunks[i]]
+        out, at = [], 0
+        for x in cut:
+            out.append(b"".join(ids[at : at + len(x)]))
+            at += len(x)
         for c in new:
             if len(c) > KEEP_CHARS:
                 del self.table[c]
+        self.last = chunks
         return out
 
 

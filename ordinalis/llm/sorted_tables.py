@@ -249,7 +249,7 @@ def write_token_tables(df: DataFrame, tokenizer_path: str, folder: str, end_id:
                     close()
         if writer is not None:
             close()
-        encode.rest()
+        encode.rest(chunks.TABLE_ENTRIES)
         yield pa.RecordBatch.from_pylist([dict(zip(("part", "seq", "path", "n_docs", "n_tokens"), r, strict=True)) for r in rows], schema=pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     return materialize(dealt.mapInArrow(run, MANIFEST), "manifest")

@@ -308,6 +308,27 @@ def test_references_are_shares():
 # 5
 
 
+def test_chunk_table_is_kept_between_tasks(monkeypatch):
+    asked = []
+
+    def encode(new):
+        asked.extend(new)
+        return [c.encode() for c in new]
+
+    monkeypatch.setattr(chunks, "BATCH_CHARS", 8)
+    table = chunks.ChunkTable(str.split, encode)
+    long = "x" * (chunks.KEEP_CHARS + 1)
+    texts = ["a b", "c d e f", "", long, "g a g", "h"]
+    joined = [x.replace(" ", "").encode() for x in texts]
+    assert table(texts) == joined and sorted(asked) == sorted([*"abcdefgh", long])
+    table.rest(8)  # the table of eight, without the long chunk, is kept whole
+    assert table(texts) == joined and len(asked) == 10
+    table.rest(7)
+    assert set(table.table) < set("abcdefgh") and table(texts) == joined
+    monkeypatch.setattr(chunks, "TABLE_ENTRIES", 2)
+    assert table(texts) == joined and len(table.table) < 8
+
+
 def test_sorted_tables(spark):
     from tokenizers import Tokenizer
 
