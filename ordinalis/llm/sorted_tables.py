@@ -241,7 +241,7 @@ def write_token_tables(df: DataFrame, tokenizer_path: str, folder: str, end_id:
             writer, seq = None, seq + 1
 
         for batch in batches:
-            for k, found in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            for k, found in zip(batch.column(0).to_pylist(), encode.column(batch.column(1)), strict=True):
                 if writer is None:
                     writer = ShardWriter(system.open_output_stream(f"{base}/.{part}-{seq}-{attempt}"), width)
                 writer.add(key_of(k), (found if width == 4 else np.frombuffer(found, "<u4").astype("<u2").tobytes()) + end)

@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import string
 import zlib
 
 import numpy as np
@@ -329,6 +330,47 @@ def test_chunk_table_is_kept_between_tasks(monkeypatch):
     assert table(texts) == joined and len(table.table) < 8
 
 
+def test_columns_are_cut_by_their_bytes(monkeypatch):
+    """Ids of a column are the library's, whatever white space, signs and letters meet, and however the column is laid out."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    model, r = Tokenizer.from_file(BYTE), random.Random(5)
+    parts = [*ODD, *" \n\u00a0\u3000,.'_)\u00e9\u00d7\u00f7\u00c0\u0436\u0482\u0301\u201c\u00bd\u00aa", "'s", "word", " word", "  ", "\n\n", " \u2003 ", "<|endoftext|>"]
+    texts = [None, "", *("".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(8000)), *(x[1] for x in ROWS)]
+    monkeypatch.setattr(chunks, "BATCH_BYTES", 5000)
+    expected = [np.asarray(model.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    for column in (pa.array(texts), pa.array(["before", *texts], pa.large_string()).slice(1)):
+        for text, a, b in zip(texts, chunks.byte_bpe(BYTE).column(column), expected, strict=True):
+            assert a == b, ascii(text)
+    assert chunks.byte_bpe(BYTE).column(pa.array([], pa.string())) == [] and chunks.byte_bpe(BYTE).column(pa.nulls(2, pa.string())) == [b"", b""]
+    monkeypatch.undo()
+    # the pattern's cuts, and one before each sign that ends a word
+    for text in (x or "" for x in texts):
+        cuts, at, own = chunks.byte_cuts(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])).tolist(), 0, []
+        for c in chunks.BYTE_BPE_CHUNK.findall(text):
+            own.append(at)
+            at += len(c.encode())
+        assert set(own) <= set(cuts) and all(chr(text.encode()[k]) in string.punctuation for k in set(cuts).difference(own)), ascii(text)
+
+
+def test_a_word_before_signs_is_encoded_once():
+    import pyarrow as pa
+
+    asked = []
+
+    def encode(new):
+        asked.extend(new)
+        return [c.encode() for c in new]
+
+    table = chunks.ByteChunkTable(chunks.BYTE_BPE_CHUNK.findall, encode, [])
+    texts = ["a word word, word.\nWord; caf\u00e9, caf\u00e9 2\u00d7. 2", None, " word! \u0434\u0430, \u0434\u0430"]
+    assert table.column(pa.array(texts)) == [(x or "").encode() for x in texts]
+    assert sorted(asked) == sorted(["a", " word", ",", ".", "\n", "Word", ";", " caf\u00e9", " 2\u00d7.", " 2", "!", " \u0434\u0430"])
+
+
 def test_sorted_tables(spark):
     from tokenizers import Tokenizer
 
