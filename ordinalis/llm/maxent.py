@@ -4,8 +4,9 @@ The model gives P(class | history) * P(word | class). A frequent word is a class
 CLASS_SHARE of the corpus, by falling frequency, and all others share class 0; inside these a word has its smoothed unigram share. P(class | history) is
 factored once more: classes are halved by mass again and again, and each halving is a softmax of two over a bias, which starts at the
 corpus shares, plus one weight for each of four hashed history features: the last word, the last two words, and the words two and three back (skips).
-A weight's place is a hash of the feature and the halving, so a token touches some nine halvings of four weights each, of millions: batches are
-sparse lists of (token, weight). The probabilities of all words, unseen ones included, add up to one. Weights grow in number with the training tokens.
+A token touches some nine halvings of four weights each, of millions: batches are sparse lists of (token, weight). A weight's place is a hash of the
+feature and of a group of halvings, three levels of them, whose seven weights share a cache line; the hash also permutes them in it, so that
+all places fill alike. The probabilities of all words, unseen ones included, add up to one. Weights grow in number with the training tokens.
 They are learned in rounds: each task sums the gradient of its texts, sums are added by block of weights, and the driver, which holds only the
 weights, takes a step. Each round reads another part of the training texts; together they read all.
 """
@@ -13,7 +14,6 @@ weights, takes a step. Each round reads another part of the training texts; toge
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,11 +35,12 @@ CLASS_SHARE = 1 / 1024
 #: WEIGHTS do for BASE_TOKENS training tokens; they double with every eightfold of them. Blocks of them are added up together.
 WEIGHTS, BASE_TOKENS, BLOCKS = 1 << 21, 1 << 22, 64
 FEATURES, ROUNDS, STEP, RIDGE = 4, 4, 0.35, 4.0
-#: Distinct words of a task that are counted before they are handed on, and tokens that are scored at once.
-COUNTED, TOKENS = 300_000, 1 << 16
+#: Halvings of LEVELS levels of a path make a group, whose weights for a feature lie side by side.
+LEVELS = 3
+#: Tokens that are scored at once.
+TOKENS = 1 << 16
 #: Tokens whose halvings are held at once, small enough for a core's cache.
-AT_ONCE = 1 << 11
-RANK_BITS = 20
+AT_ONCE = 1 << 12
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -56,21 +57,15 @@ def part(key: Column) -> Column:
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
-    """word, n over texts (one column); tasks hand on their sums after the batch in which they come to more than COUNTED words."""
+    """word, n over texts (one column); counted by batch, then by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-
-        counts: Counter[str] = Counter()
         for batch in batches:
             words, codes, _ = coded(batch.column(0))
-            counts.update(dict(zip(words.to_pylist(), np.bincount(codes, minlength=len(words)).tolist(), strict=True)))
-            if len(counts) > COUNTED:
-                yield rows()
-                counts.clear()
-        if counts:
-            yield rows()
+            counts = np.bincount(codes, minlength=len(words))
+            if not counts[-1]:  # a batch without rows has no end
+                continue
+            yield pa.RecordBatch.from_arrays([words, pa.array(counts, pa.int64())], names=["word", "n"])
 
     return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -93,6 +88,28 @@ def halved(mass: np.ndarray) -> tuple[list[list[tuple[int, int]]], list[float]]:
     return paths, bias
 
 
+class Paths:
+    """Matrices of paths of one length, a column each: of every halving its bias, the side taken and its slot in its group (1 for the group's topmost,
+    2 and 3 under it, and so on), and of every group the hash of its topmost halving. group: that of each row."""
+
+    def __init__(self, paths: list[list[tuple[int, int]]], bias: np.ndarray):
+        steps = np.array(paths, np.int64).reshape(len(paths), len(paths[0]), 2)
+        halving, side = steps[..., 0].T.copy(), steps[..., 1].T.copy()
+        self.ratio, self.side, self.slot = bias[halving], side.astype(np.float32), np.ones_like(side)
+        for j in range(len(side)):
+            if j % LEVELS:
+                self.slot[j] = 2 * self.slot[j - 1] + side[j - 1]
+        self.mixed, self.group = halving[::LEVELS].astype(np.uint32) * np.uint32(0x9E3779B1), np.arange(len(side)) // LEVELS
+
+
+def aligned(n: int, kind: type) -> np.ndarray:
+    """n zeros that begin at a cache line, so that few groups lie across two."""
+    size = np.dtype(kind).itemsize
+    held = np.zeros(n + 64 // size, kind)
+    skip = -held.ctypes.data % 64 // size
+    return held[skip : skip + n]
+
+
 @dataclass
 class Model:
     """head: words by falling count, with counts. total and distinct: of training tokens."""
@@ -123,16 +140,20 @@ class Model:
         paths, bias = halved(sums)
         self.bias = np.array(bias, np.float32)
         self.depth = np.array([len(p) for p in paths], np.int64)
-        self.first = np.cumsum(self.depth) - self.depth
-        #: Of each step of the paths, one class after another: the hash of its halving, the halving's bias, the side taken.
-        halving = np.array([v for p in paths for v, _ in p], np.uint32)
-        self.mixed, self.ratio = halving * np.uint32(0x9E3779B1), self.bias[halving]
-        self.side = np.array([x for p in paths for _, x in p], np.float32)
+        #: Of each class its place by depth, then number, and its place among those of its depth.
+        order = np.argsort(self.depth, kind="stable")
+        self.by_depth, upto = np.argsort(order).astype(np.uint32), np.cumsum(np.bincount(self.depth))
+        self.column = self.by_depth - (upto - np.bincount(self.depth))[self.depth]
+        self.paths = {int(d): Paths([paths[c] for c in order if self.depth[c] == d], self.bias) for d in np.unique(self.depth)}
         self.log_counts = np.log10(np.array([0.0, *(n for _, n in self.head)]) + ALPHA)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "words"}
 
+    def __setstate__(self, state: dict):
+        self.__dict__ |= state | {"weights": aligned(len(state["weights"]), np.float32)}
+        self.weights[:] = state["weights"]
+
     def word_table(self) -> Words:
         """This process's table for the model, kept between its tasks."""
         if "words" not in self.__dict__:
@@ -145,22 +166,30 @@ class Model:
         mixes = (back[0] * np.uint64(0x9E3779B97F4A7C15), back[0] * np.uint64(0xC2B2AE3D27D4EB4F) + back[1] * np.uint64(0x165667B19E3779F9), back[1] * np.uint64(0xD6E8FEB86659FD93), back[2] * np.uint64(0xA0761D6478BD642F))
         return np.stack([(m ^ m >> np.uint64(31)) * np.uint64(0xE7037ED1A0B428DB) >> np.uint64(32) for m in mixes]).astype(np.uint32)
 
+    def in_order(self, classes: np.ndarray) -> np.ndarray:
+        """Places of the tokens by class, those of a depth together."""
+        return np.argsort(self.by_depth.take(classes).astype(np.uint16 if self.n_classes < 1 << 16 else np.uint32), kind="stable")
+
     def halvings(self, features: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-        """A sparse batch: of each halving on the classes' paths its token, its side, the place of its weight for each feature, and its logit."""
-        n = self.depth[classes]
-        token = np.repeat(np.arange(len(classes)), n)
-        at = np.arange(len(token))
-        at += (self.first[classes] - np.cumsum(n) + n).take(token)
-        mixed, shift = self.mixed.take(at), np.uint32(33 - len(self.weights).bit_length())
-        places, z = [], self.ratio.take(at)
-        for f in features:
-            i = f.take(token)
-            i ^= mixed
-            i *= np.uint32(0x85EBCA6B)
-            i >>= shift
-            places.append(i.astype(np.int64))
-            z += self.weights.take(places[-1])
-        return token, self.side.take(at), places, z
+        """A sparse batch: of each halving on the classes' paths its token, its side, the place of its weight for each feature, and its logit. Classes of
+        one depth are a matrix, so tokens in_order() cost least."""
+        shift, depths = np.uint32(33 - len(self.weights).bit_length()), self.depth.take(classes)
+        parts = []
+        for d in np.flatnonzero(np.bincount(depths)).tolist():
+            at, paths = np.flatnonzero(depths == d), self.paths[d]
+            column = self.column.take(classes.take(at))
+            mixed, slot, z, places = paths.mixed.take(column, 1), paths.slot.take(column, 1), paths.ratio.take(column, 1), []
+            for f in features:
+                i = mixed ^ f.take(at)
+                i *= np.uint32(0x85EBCA6B)
+                i >>= shift
+                i = i.astype(np.int64).take(paths.group, 0)
+                i ^= slot
+                places.append(i.ravel())
+                z += self.weights.take(i)
+            parts.append((np.tile(at, d), paths.side.take(column, 1).ravel(), *places, z.ravel()))
+        token, side, *places, z = parts[0] if len(parts) == 1 else map(np.concatenate, zip(*parts, strict=True))
+        return token, side, places, z
 
     def class_logs(self, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """log10 of P(class | history) of each token."""
@@ -172,17 +201,18 @@ class Model:
         return np.bincount(token, np.log(z, out=z), len(classes)) / -math.log(10)
 
 
-class Words(dict):
-    """Word to its hash and, in the low bits, its rank from 1 in the head or 0."""
+class Words:
+    """Hashes of words, and their ranks from 1 in the head or 0."""
 
     def __init__(self, model: Model):
         import xxhash
 
-        self.hash = xxhash.xxh32_intdigest
-        super().__init__((w, self.hash(w) << RANK_BITS | r + 1) for r, (w, _) in enumerate(model.head))
+        self.hash, self.head = xxhash.xxh32_intdigest, pa.array([w for w, _ in model.head], pa.string())
 
-    def __missing__(self, word: str) -> int:
-        return self.hash(word) << RANK_BITS
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ranks = pc.index_in(words, self.head).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        # by way of numpy, as to_pylist() takes many times as long
+        return np.fromiter(map(self.hash, words.to_numpy(zero_copy_only=False).tolist()), np.uint64, len(words)), ranks
 
 
 def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -206,7 +236,7 @@ def token_batches(model: Model, batches: Iterator[pa.RecordBatch], column: int)
     table = model.word_table()
     for batch in batches:
         words, codes, sizes = coded(batch.column(column))
-        packed = np.fromiter(map(table.__getitem__, words.to_pylist()), np.uint64, len(words))
+        hashes, ranks = table.look_up(words)
         ends = np.cumsum(sizes)
         row = 0
         while row < len(sizes):
@@ -214,9 +244,8 @@ def token_batches(model: Model, batches: Iterator[pa.RecordBatch], column: int)
             upto = min(max(int(np.searchsorted(ends, begin + TOKENS, "right")), row + 1), len(sizes))
             first = ends[row:upto] - sizes[row:upto] - begin
             part = codes[begin : ends[upto - 1]]
-            found = packed[part]
             place = np.arange(len(part)) - np.repeat(first, sizes[row:upto])
-            yield [c.slice(row, upto - row) for c in batch.columns[:column]], (words, part), first, (found & np.uint64((1 << RANK_BITS) - 1)).astype(np.int64), found >> np.uint64(RANK_BITS), place
+            yield [c.slice(row, upto - row) for c in batch.columns[:column]], (words, part), first, ranks.take(part), hashes.take(part), place
             row = upto
 
 
@@ -226,9 +255,10 @@ def parts_of(n: int, size: int) -> Iterator[slice]:
 
 def gradient(model: Model, batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     """Of each weight the gradient of the log probability and the curvature, summed over the texts in the batches' only column."""
-    both = np.zeros(len(model.weights), np.complex64)  # slope and curvature, so that one access adds both
+    both = aligned(len(model.weights), np.complex64)  # slope and curvature, so that one access adds both
     for _, _, _, ranks, hashes, place in token_batches(model, batches, 0):
-        classes, features = model.class_of[ranks], model.feature_rows(hashes, place)
+        order = model.in_order(classes := model.class_of.take(ranks))
+        classes, features = classes.take(order), model.feature_rows(hashes, place).take(order, 1)
         for s in parts_of(len(ranks), AT_ONCE):
             _, side, places, z = model.halvings(features[:, s], classes[s])
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -319,8 +349,10 @@ def score_rows(rows: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for docs, (names, codes), first, ranks, hashes, place in token_batches(model, batches, 2):
-            classes, features = model.class_of[ranks], model.feature_rows(hashes, place)
-            logs = np.concatenate([model.class_logs(features[:, s], classes[s]) for s in parts_of(len(ranks), AT_ONCE)])
+            classes, features = model.class_of.take(ranks), model.feature_rows(hashes, place)
+            order, logs = model.in_order(classes), np.empty(len(ranks))
+            for s in parts_of(len(ranks), AT_ONCE):
+                logs[order[s]] = model.class_logs(features.take(order[s], 1), classes.take(order[s]))
             known = ranks > 0
             base = np.where(known, model.log_counts[ranks], 0.0)
             logs += base - model.within_log[classes]

@@ -799,6 +799,39 @@ def test_model_grows_with_tokens_and_words():
         assert shares.sum() == pytest.approx(1, abs=1e-4) and np.allclose(shares, 10**model.within_log / (10**model.within_log).sum(), rtol=1e-3)
 
 
+def test_weights_of_a_path_lie_in_few_lines():
+    """For each feature one line of eight weights for three halvings, a place for each halving in it, and all places fill alike."""
+    import pickle
+
+    model = pickle.loads(pickle.dumps(maxent.Model([(f"w{i}", 10**6 // (i + 1)) for i in range(3000)], 10**7, 4000)))
+    assert model.weights.ctypes.data % 64 == 0 and maxent.aligned(1 << 10, np.complex64).ctypes.data % 64 == 0
+    r = np.random.default_rng(4)
+    classes, features = r.integers(0, model.n_classes, 5000), r.integers(0, 1 << 32, (4, 5000)).astype(np.uint32)
+    token, _, places, z = model.halvings(features, classes)
+    lines = -(-model.depth[classes] // 3)
+    for p in places:
+        assert (np.array([len(np.unique(x)) for x in np.split((p >> 3)[np.argsort(token, kind="stable")], np.cumsum(model.depth[classes])[:-1])]) <= lines).all()
+        assert len(np.unique(token * len(model.weights) + p)) >= 0.999 * len(p)
+        assert np.bincount(p & 7, minlength=8).min() > 0.9 * len(p) / 8
+    order = model.in_order(classes)
+    assert (np.sort(order) == np.arange(5000)).all() and (np.diff(model.depth[classes[order]]) >= 0).all()
+    model.weights[:] = r.normal(0, 1, len(model.weights))
+    whole, one = model.class_logs(features, classes), [model.class_logs(features[:, [t]], classes[[t]])[0] for t in range(200)]
+    assert np.allclose(whole[:200], one) and np.allclose(model.class_logs(features[:, order], classes[order]), whole[order])
+
+
+def test_words_are_looked_up_by_rank_and_hash():
+    """Head words have their ranks, others none."""
+    import pyarrow as pa
+    import xxhash
+
+    model, _, _ = small_model()
+    words = [*(w for w, _ in model.head), "no such word", "\u00e9\U0001f600", maxent.END]
+    hashes, ranks = model.word_table().look_up(pa.array(words))
+    assert hashes.tolist() == [xxhash.xxh32_intdigest(w) for w in words]
+    assert ranks.tolist() == [*range(1, len(model.head) + 1), 0, 0, next((i + 1 for i, (w, _) in enumerate(model.head) if w == maxent.END), 0)]
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     """By log10 of probability a token, on texts that weren't learned from."""
     df = maxent.op10(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
